@@ -70,3 +70,9 @@ def ratio(a: Column, b: Column) -> Column:
 def rows_of(df: DataFrame, structs: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
     """One output row per struct: turns a wide one-pass aggregate into a long table."""
     return df.select(*keep, F.inline(F.array(*structs)))
+
+
+def fixed(c: Column, places: int, signed: bool = False) -> Column:
+    """Decimal text of a number, rounded from its exact binary value."""
+    text = F.regexp_replace(F.format_number(c, places), ",", "")
+    return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text)) if signed else text

@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import require_columns
+from riskloom.functions.columns import fixed, require_columns
 from riskloom.functions.session import BROADCAST_ROWS, checkpoint_dir
 from riskloom.operators.models import FEATURES, Fitted, assembled
 
@@ -273,7 +273,7 @@ def top_contributions(contrib: DataFrame, row_id: str, k: int = 10) -> DataFrame
         contrib.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .withColumn("direction", F.when(F.col("phi") > 0, "raises").otherwise("lowers"))
-        .withColumn("text", F.format_string("%+.3f", F.col("phi")))
+        .withColumn("text", fixed(F.col("phi"), 3, signed=True))
     )
 
 

@@ -74,6 +74,25 @@ class SparkModel:
         ).drop(FEATURES, "rawPrediction")
 
 
+class LinearScore:
+    """A logistic model as one column expression: nothing to assemble, and any table or stream will do."""
+
+    def __init__(self, features: Sequence[str], weights: Sequence[float], intercept: float):
+        self.features, self.intercept = list(features), float(intercept)
+        self.weights = [float(w) for w in weights]
+
+    @classmethod
+    def of(cls, fitted: SparkModel) -> LinearScore:
+        return cls(fitted.features, fitted.model.coefficients.toArray(), fitted.model.intercept)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        z = F.lit(self.intercept)
+        for c, w in zip(self.features, self.weights):
+            z = z + F.col(c) * F.lit(w)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return df.withColumn("probability", p).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+
+
 class RbfModel:
     """Linear classifier on random Fourier features, with a logistic curve on its margin.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import METRIC_NAMES
-from riskloom.functions.columns import lookup, title_case
+from riskloom.functions.columns import fixed, lookup, title_case
 
 
 def _stamp(as_of: str | None) -> Column:
@@ -30,7 +30,7 @@ def report_rows(
     nothing is shuffled or joined by record. `as_of` fixes the time stamps.
     """
     stamp = _stamp(as_of)
-    percent = lambda c: F.concat(F.format_string("%.1f", F.col(c) * 100), F.lit("%"))
+    percent = lambda c: F.concat(fixed(F.col(c) * 100, 1), F.lit("%"))
     items = [
         ("header", "Generated on", F.date_format(stamp, "MMMM dd, yyyy 'at' HH:mm")),
         ("header", "Report ID", F.concat(F.date_format(stamp, "yyyyMMddHHmmss"), F.lit("-"), F.col(row_id).cast("string"))),
