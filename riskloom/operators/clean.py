@@ -68,28 +68,33 @@ def impute(df: DataFrame, strategies: Mapping[str, str], exact: bool = True, lim
 
 
 def fill_values(
-    df: DataFrame, strategies: Mapping[str, str], exact: bool = True, limit: int = SORTED_VALUES
+    df: DataFrame,
+    strategies: Mapping[str, str],
+    exact: bool = True,
+    limit: int = SORTED_VALUES,
+    gaps: Mapping[str, int] | None = None,
 ) -> dict[str, object]:
-    """Only columns with a missing value are read again for their median or mode."""
+    """Only columns with a missing value are read again for their median or mode.
+
+    `gaps` is the row of `missing_counts`, when the caller has it.
+    """
     require_columns(df, *strategies)
     unknown = set(strategies.values()) - {"mode", "median"}
     if unknown:
         raise ValueError(f"unknown strategy: {sorted(unknown)}")
     if not strategies:
         return {}
-    gaps = missing_counts(df, list(strategies)).first()
+    gaps = gaps or missing_counts(df, list(strategies)).first().asDict()
     holed = [c for c in strategies if gaps[c]]
     by_mode = [c for c in holed if strategies[c] == "mode"]
     by_median = [c for c in holed if strategies[c] == "median"]
     numbers = df.select(*[number_or_null(F.col(c), df.schema[c].dataType).alias(c) for c in by_median])
-    if exact:
-        medians = exact_medians(numbers, by_median, limit)
+    if not by_median:
+        medians = {}
+    elif exact:
+        medians = exact_medians(numbers, by_median, limit, at_most=gaps["n_rows"])
     else:
-        medians = (
-            numbers.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in by_median]).first().asDict()
-            if by_median
-            else {}
-        )
+        medians = numbers.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in by_median]).first().asDict()
     found = modes(df, by_mode) | medians
     empty = [c for c in holed if found[c] is None]
     if empty and gaps["n_rows"]:
@@ -143,10 +148,12 @@ def clean(
     carry = [c for c in carry if c not in wanted and c != label]
     kept = reuse(rows.select(*carry, *wanted, label))
     named = binarise(kept, label, only_if_multiclass=True, drop_missing_target=drop_missing_target)
-    chosen = select_by_missingness(named, wanted, candidates, threshold)
+    gaps = missing_counts(named, [*wanted, label]).first().asDict()
+    tested = [c for c in candidates if c in wanted]
+    chosen = [c for c in wanted if c not in tested or gaps[c] / max(gaps["n_rows"], 1) <= threshold]
     named = named.select(*carry, *chosen, label)
     strategies = {c: "mode" if c in codes else "median" for c in [*chosen, label]}
-    fills = fill_values(named, strategies, limit=limit)
+    fills = fill_values(named, strategies, limit=limit, gaps=gaps)
     done = coerce_numeric(fill_with(named, fills), [*chosen, label])
     done = done.dropna("any", subset=[*chosen, label]).withColumn(label, F.col(label).cast("int"))
     return Cleaned(done, chosen, fills, kept)

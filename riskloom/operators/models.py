@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -44,7 +46,7 @@ REGISTRY = [
     ModelSpec("Random Forest", "forest", "tree", {"trees": 200, "depth": 30}),
     ModelSpec("Decision Tree", "tree", "tree", {"depth": 8}),
     ModelSpec("K-Nearest Neighbors", "knn", "sampled", {"k": 7}),
-    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 256}),
+    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 128}),
     ModelSpec("XGBoost", "gbt", "tree", {"rounds": 200, "rate": 0.05, "depth": 6}),
 ]
 ORDER = [m.name for m in REGISTRY]
@@ -157,7 +159,7 @@ def _fit_rbf(train, features, label, n, params, seed, folds=3):
         every = F.array(*features)
         spread = train.select(F.explode(every).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"]
         gamma = 1.0 / (len(features) * (spread or 1.0))
-    waves = params.get("waves", 256)
+    waves = params.get("waves", 128)
     lifted = reuse(
         with_waves(train, features, gamma, waves, seed)
         .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)).cast("int"))
@@ -167,15 +169,17 @@ def _fit_rbf(train, features, label, n, params, seed, folds=3):
     def fit(rows, size):
         return LinearSVC(
             featuresCol=FEATURES, labelCol=label, regParam=1.0 / (params.get("C", 1.0) * max(size, 1)),
-            standardization=False, maxIter=params.get("max_iter", 100),
+            standardization=False, maxIter=params.get("max_iter", 50),
         ).fit(rows)
 
-    svc = fit(lifted, n)
-    # The curve is fitted on margins of rows the classifier has not seen.
+    # The curve is fitted on margins of rows the classifier has not seen. The fits do not depend on
+    # each other, so their many small jobs run side by side.
+    sets = [(lifted, n)] + [(lifted.where(F.col("_fold") != f), n * (folds - 1) / folds) for f in range(folds)]
+    with ThreadPool(len(sets)) as pool:
+        svc, *held = pool.map(inheritable_thread_target(train.sparkSession)(lambda s: fit(*s)), sets)
     out_of_fold = None
-    for f in range(folds):
-        rest = lifted.where(F.col("_fold") != f)
-        part = margin(fit(rest, n * (folds - 1) / folds), lifted.where(F.col("_fold") == f)).select(label, "_margin")
+    for f, m in enumerate(held):
+        part = margin(m, lifted.where(F.col("_fold") == f)).select(label, "_margin")
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
     curve = LogisticRegression(featuresCol="_m", labelCol=label).fit(
         out_of_fold.withColumn("_m", array_to_vector(F.array("_margin")))
@@ -199,7 +203,7 @@ def make_classifier(kind: str, label: str, n_train: int, params: dict, seed: int
     if kind == "forest":
         return RandomForestClassifier(
             **common, numTrees=params["trees"], maxDepth=params["depth"], featureSubsetStrategy="sqrt", seed=seed,
-            maxMemoryInMB=params.get("memory", 1024), cacheNodeIds=False,
+            maxMemoryInMB=params.get("memory", 256),
         )
     if kind == "tree":
         return DecisionTreeClassifier(**common, maxDepth=params["depth"], maxBins=params.get("bins", 256), seed=seed)

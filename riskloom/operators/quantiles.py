@@ -135,16 +135,20 @@ def exact_percentiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     limit: int = SORTED_VALUES,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Interpolated percentiles per group: columns (by..., feature, q array<double>).
 
     Groups of at most `limit` values use the built-in exact aggregate. A larger group would not
-    fit one task, so its percentiles are found by counting passes over the table.
+    fit one task, so its percentiles are found by counting passes over the table. `at_most` is the
+    number of rows, when the caller knows it.
     """
     by, probs = list(by), [float(p) for p in probs]
     df = nan_to_null(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
-    sizes = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols])
-    hot = sizes.where(F.greatest(*[F.col(c) for c in cols], F.lit(0)) > limit).collect()
+    hot = []
+    if at_most is None or at_most > limit:
+        sizes = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols])
+        hot = sizes.where(F.greatest(*[F.col(c) for c in cols], F.lit(0)) > limit).collect()
     asked = F.array(*[F.lit(p) for p in probs])
 
     def matches(row) -> Column:
@@ -184,10 +188,10 @@ def exact_percentiles(
     return out.where(keep).unionByName(found)
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], limit: int = SORTED_VALUES) -> dict[str, float | None]:
-    if not cols:
-        return {}
-    rows = exact_percentiles(df, cols, [0.5], limit=limit).collect()
+def exact_medians(
+    df: DataFrame, cols: Sequence[str], limit: int = SORTED_VALUES, at_most: int | None = None
+) -> dict[str, float | None]:
+    rows = exact_percentiles(df, cols, [0.5], limit=limit, at_most=at_most).collect()
     return {r["feature"]: (r["q"][0] if r["q"] else None) for r in rows}
 
 

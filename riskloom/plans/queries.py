@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -382,9 +383,19 @@ def best_model(spark, sf_dir):
 # Models
 
 
+# The ensembles of the registry take hundreds of passes; these queries grow smaller ones over the
+# same whole table.
+SMALLER = {"forest": {"trees": 20, "depth": 8}, "gbt": {"rounds": 10, "depth": 4}}
+
+
+def quick_spec(kind: str) -> ModelSpec:
+    spec = spec_of(kind)
+    return replace(spec, params=spec.params | SMALLER.get(kind, {}))
+
+
 def held_out(kind: str) -> Query:
     def run(spark, sf_dir):
-        done, _ = trained(spark, sf_dir, [spec_of(kind)])
+        done, _ = trained(spark, sf_dir, [quick_spec(kind)])
         return done.predictions
 
     return run
@@ -526,6 +537,13 @@ def explain_sampled(spark, sf_dir):
     return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
 
 
+@query
+def explain_boosted(spark, sf_dir):
+    done, test = trained(spark, sf_dir, [quick_spec("gbt")])
+    fitted = done.fitted["XGBoost"]
+    return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
+
+
 @query
 def background_summary(spark, sf_dir):
     train, _, features = parts(spark, sf_dir)
