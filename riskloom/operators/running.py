@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,7 +20,7 @@ def value_splits(df: DataFrame, order: str, buckets: int) -> list[float]:
     """Distinct approximate quantiles; they only balance the buckets and never change a result."""
     probs = [i / buckets for i in range(1, buckets)]
     found = df.stat.approxQuantile(order, probs, 1.0 / (4 * buckets))
-    return sorted(set(found))
+    return sorted({v for v in found if math.isfinite(v)})
 
 
 def running_totals(
@@ -37,10 +38,10 @@ def running_totals(
     `buckets` rows per group), and the sorted windows run inside (by, bucket).
     """
     by = list(by)
-    rows = df.where(F.col(order).isNotNull()).withColumn(order, F.col(order).cast("double"))
+    rows = df.withColumn(order, F.col(order).cast("double")).where(F.col(order).isNotNull() & ~F.isnan(order))
     splits = value_splits(rows, order, buckets or default_buckets(df))
     at_value = rows.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    edges = [float("-inf"), *splits, float("inf")]
+    edges = [float("-inf"), *(splits or [0.0]), float("inf")]
     placed = Bucketizer(splits=edges, inputCol=order, outputCol="_bucket").transform(at_value)
 
     names = list(sums)
