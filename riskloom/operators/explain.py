@@ -19,10 +19,37 @@ from riskloom.operators.models import FEATURES, Fitted, assembled
 LEAVES_PER_CALL = 100_000
 
 
-def _long(df: DataFrame, row_id: str, features: Sequence[str], phis, base, space: str) -> DataFrame:
-    structs = [F.struct(F.lit(f).alias("feature"), p.alias("phi")) for f, p in zip(features, phis)]
-    long = df.select(row_id, base.alias("base_value"), F.inline(F.array(*structs)))
-    return long.select(row_id, "feature", "phi", "base_value", F.lit(space).alias("output_space"))
+def _long(
+    df: DataFrame, row_id: str, features: Sequence[str], phis, base, space: str, top: int | None = None
+) -> DataFrame:
+    """(row_id, feature, phi, base_value, output_space), one row per feature.
+
+    With `top` only the largest |phi| of each record leave it, ranked as by `top_contributions`:
+    they are sorted inside the record, so nothing is shuffled.
+    """
+    structs = [
+        F.struct(F.abs(p).alias("size"), F.lit(f).alias("feature"), p.alias("phi")) for f, p in zip(features, phis)
+    ]
+    items = F.array(*structs)
+    if top is not None:
+        larger_first = lambda a, b: (
+            F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1)
+            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0)
+        )
+        items = F.slice(F.array_sort(items, larger_first), 1, top)
+    ranked = df.select(row_id, base.alias("base_value"), F.posexplode(items).alias("_at", "_item"))
+    out = ranked.select(
+        row_id, "_item.feature", "_item.phi", "base_value", F.lit(space).alias("output_space"), "_at"
+    )
+    if top is None:
+        return out.drop("_at")
+    return _directed(out.withColumn("rank", F.col("_at") + 1).drop("_at"))
+
+
+def _directed(df: DataFrame) -> DataFrame:
+    return df.withColumn("direction", F.when(F.col("phi") > 0, "raises").otherwise("lowers")).withColumn(
+        "text", fixed(F.col("phi"), 3, signed=True)
+    )
 
 
 def explain_linear(
@@ -32,12 +59,13 @@ def explain_linear(
     weights: Sequence[float],
     means: Sequence[float],
     intercept: float = 0.0,
+    top: int | None = None,
 ) -> DataFrame:
     """phi = weight * (value - training mean), in log-odds; with the base value they sum to the score."""
     require_columns(df, row_id, *features)
     phis = [F.lit(float(w)) * (F.col(c) - F.lit(float(m))) for c, w, m in zip(features, weights, means)]
     base = F.lit(float(intercept) + float(sum(w * m for w, m in zip(weights, means))))
-    return _long(df, row_id, features, phis, base, "log_odds")
+    return _long(df, row_id, features, phis, base, "log_odds", top)
 
 
 def _paths(nodes: list, value_of: Callable) -> list[tuple]:
@@ -132,7 +160,7 @@ def _leaf_udf(leaves: list[tuple], d: int):
     return attribute
 
 
-def explain_tree(df: DataFrame, row_id: str, fitted: Fitted) -> DataFrame:
+def explain_tree(df: DataFrame, row_id: str, fitted: Fitted, top: int | None = None) -> DataFrame:
     """Path-dependent tree attribution of scaled rows, exact.
 
     A forest's attribution is the sum over its leaves, so the leaves travel in parts of bounded size
@@ -147,7 +175,8 @@ def explain_tree(df: DataFrame, row_id: str, fitted: Fitted) -> DataFrame:
         part = _leaf_udf(leaves[start : start + LEAVES_PER_CALL], len(features))(x)
         phi = part if phi is None else F.zip_with(phi, part, lambda a, b: a + b)
     rows = df.select(row_id, phi.alias("_phi"))
-    return _long(rows, row_id, features, [F.col("_phi")[i] for i in range(len(features))], F.lit(base), space)
+    phis = [F.col("_phi")[i] for i in range(len(features))]
+    return _long(rows, row_id, features, phis, F.lit(base), space, top)
 
 
 def background_summary(
@@ -187,6 +216,7 @@ def explain_sampled(
     background: DataFrame,
     n_perm: int = 20,
     seed: int = 42,
+    top: int | None = None,
 ) -> DataFrame:
     """Attribution of any model by random feature orders (Strumbelj and Kononenko, 2014).
 
@@ -243,38 +273,39 @@ def explain_sampled(
         .groupBy(row_id)
         .agg(*[(F.sum(F.when(F.col("j") == j, F.col("gain"))) / n_perm).alias(f"_g{j + 1}") for j in range(-1, d)])
     )
-    return _long(sums, row_id, features, [F.col(f"_g{j + 1}") for j in range(d)], F.col("_g0"), "probability")
+    phis = [F.col(f"_g{j + 1}") for j in range(d)]
+    return _long(sums, row_id, features, phis, F.col("_g0"), "probability", top)
 
 
-def explain(df: DataFrame, row_id: str, fitted: Fitted, n_perm: int = 20, seed: int = 42) -> DataFrame:
+def explain(
+    df: DataFrame, row_id: str, fitted: Fitted, n_perm: int = 20, seed: int = 42, top: int | None = None
+) -> DataFrame:
     """Attribution of scaled rows by the way that suits the model; an unknown one is sampled."""
     how = fitted.spec.explains
     if how == "linear":
         inner = fitted.model.model
         # The scaler centres every column on its training mean, so the mean of a scaled column is 0.
         return explain_linear(
-            df, row_id, fitted.features, inner.coefficients.toArray(), [0.0] * len(fitted.features), inner.intercept
+            df, row_id, fitted.features, inner.coefficients.toArray(), [0.0] * len(fitted.features), inner.intercept, top
         )
     if how == "tree":
-        return explain_tree(df, row_id, fitted)
+        return explain_tree(df, row_id, fitted, top)
     if fitted.background is None:
         raise ValueError("the fitted model carries no background table")
     summary = background_summary(fitted.background, fitted.features, seed=seed)
     predict = fitted.model.predict
     if fitted.spec.kind == "knn":
         predict = lambda rows: fitted.model.predict(rows, "_walk")
-    return explain_sampled(df, row_id, fitted.features, predict, summary, n_perm, seed)
+    return explain_sampled(df, row_id, fitted.features, predict, summary, n_perm, seed, top)
 
 
 def top_contributions(contrib: DataFrame, row_id: str, k: int = 10) -> DataFrame:
-    """The k features with the largest |phi| per record, with direction and signed text."""
+    """The k features with the largest |phi| per record, with direction and signed text.
+
+    For a stored attribution table; `explain(..., top=k)` gives the same rows without a shuffle.
+    """
     order = Window.partitionBy(row_id).orderBy(F.abs("phi").desc(), "feature")
-    return (
-        contrib.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .withColumn("direction", F.when(F.col("phi") > 0, "raises").otherwise("lowers"))
-        .withColumn("text", fixed(F.col("phi"), 3, signed=True))
-    )
+    return _directed(contrib.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:

@@ -247,6 +247,10 @@ class Trained:
     predictions: DataFrame
     status: DataFrame
     order: list[str]
+    _kept: DataFrame
+
+    def unpersist(self) -> None:
+        self._kept.unpersist()
 
     def metrics(self, label: str) -> DataFrame:
         return classification_metrics(self.predictions, label, "prediction", "probability", ["model"])
@@ -297,6 +301,7 @@ def train_all(
     return Trained(
         fitted, predictions, spark.createDataFrame(status, "model string, status string, message string"),
         [m.name for m in models],
+        scaled_train,
     )
 
 

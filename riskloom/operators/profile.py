@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 from typing import NamedTuple
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,6 @@ from riskloom.operators.clean import missing_counts
 from riskloom.operators.codes import melt, numeric_columns
 from riskloom.operators.quantiles import SORTED_VALUES, exact_percentiles
 
-PAIRS_PER_PASS = 100
-
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
@@ -112,30 +113,17 @@ def describe(
     cols = list(cols or numeric_columns(df))
     df = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     probs = [0.25, 0.5, 0.75]
-    basic = rows_of(
-        df.agg(
-            *[
-                agg.alias(f"{name}_{i}")
-                for i, c in enumerate(cols)
-                for name, agg in (
-                    ("count", F.count(c)),
-                    ("mean", F.avg(c)),
-                    ("std", F.stddev_samp(c)),
-                    ("min", F.min(c)),
-                    ("max", F.max(c)),
-                )
-            ]
-        ),
-        [
-            F.struct(
-                F.lit(c).alias("feature"),
-                *[F.col(f"{name}_{i}").alias(name) for name in ("count", "mean", "std", "min", "max")],
-            )
-            for i, c in enumerate(cols)
-        ],
+    names = ("count", "mean", "std", "min", "max")
+    measures = (F.count, F.avg, F.stddev_samp, F.min, F.max)
+    # One row; its counts also tell the percentiles how large the columns are.
+    wide = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in zip(names, measures)]).first()
+    basic = df.sparkSession.createDataFrame(
+        [(c, *[wide[f"{n}_{i}"] for n in names]) for i, c in enumerate(cols)],
+        "feature string, count bigint, mean double, std double, min double, max double",
     )
     if exact:
-        quartiles = exact_percentiles(df, cols, probs, limit=limit)
+        largest = max(wide[f"count_{i}"] for i in range(len(cols)))
+        quartiles = exact_percentiles(df, cols, probs, limit=limit, at_most=largest)
     else:
         quartiles = rows_of(
             df.agg(*[F.percentile_approx(c, probs).alias(c) for c in cols]),
@@ -330,33 +318,51 @@ def _pair(a: str, b: str, whole: set[str]) -> Column:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, places: int = 3) -> DataFrame:
-    """(a, b, r) for every ordered pair, itself included.
+    """(a, b, r) for every ordered pair, over rows where both are present.
 
-    All pairs of one batch come from one pass and no rows are shuffled. Columns without gaps share
-    their sd between pairs, so they are found first.
+    Two passes without a shuffle: means and counts, then one Gram matrix. Its columns are the centred
+    values with 0 for a gap and, where there are gaps, the squares and the 0/1 presence marks, so that
+    every pairwise sum is one of its entries. What reaches the driver grows with the columns only.
     """
     cols = list(cols or numeric_columns(df))
     df = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    gaps = missing_counts(df, cols).first()
-    whole = {c for c in cols if not gaps[c]}
-    pairs = [(c, c) for c in cols] + list(combinations(cols, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(
-            *[
-                (F.stddev_samp(a) if a == b else _pair(a, b, whole)).alias(f"r{i}")
-                for i, (a, b) in enumerate(batch)
-            ]
-        )
-        structs = []
-        for i, (a, b) in enumerate(batch):
-            r = F.when(F.col(f"r{i}") > 0, F.lit(1.0)) if a == b else F.col(f"r{i}")
-            for x, y in [(a, b)] if a == b else [(a, b), (b, a)]:
-                structs.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.bround(r, places).alias("r")))
-        part = rows_of(wide, structs)
-        out = part if out is None else out.unionByName(part)
-    return out
+    d = len(cols)
+    first = df.agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+    ).first()
+    schema = "a string, b string, r double"
+    if not first["n"]:
+        return df.sparkSession.createDataFrame([(a, b, None) for a in cols for b in cols], schema)
+    gap = any(first[f"n{i}"] < first["n"] for i in range(d))
+    centred = [F.coalesce(F.col(c) - F.lit(first[f"m{i}"]), F.lit(0.0)) for i, c in enumerate(cols)]
+    marks = [F.col(c).isNotNull().cast("double") for c in cols] if gap else [F.lit(1.0)]
+    parts = centred + ([x * x for x in centred] if gap else []) + marks
+    vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*parts)).alias("v")), "v")
+    gram = RowMatrix(vectors).computeGramianMatrix().toArray()
+    if gap:
+        cross, square, plain, n = gram[:d, :d], gram[d : 2 * d, 2 * d :], gram[:d, 2 * d :], gram[2 * d :, 2 * d :]
+    else:
+        cross, n = gram[:d, :d], np.full((d, d), float(first["n"]))
+        square = np.repeat(np.diag(cross)[:, None], d, axis=1)
+        plain = np.repeat(gram[:d, d][:, None], d, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = cross - plain * plain.T / n
+        # What centring leaves of a constant column is rounding, not spread.
+        spread = square - plain**2 / n
+        spread = np.where(spread > 1e-13 * np.maximum(square, _scale(first, d, n)), spread, np.nan)
+        r = cov / np.sqrt(spread * spread.T)
+    r[np.diag_indices(d)] = np.where(np.isnan(np.diag(r)), np.nan, 1.0)
+    rows = [
+        (a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
+    ]
+    return df.sparkSession.createDataFrame(rows, schema).withColumn("r", F.bround("r", places))
+
+
+def _scale(first, d: int, n: np.ndarray) -> np.ndarray:
+    """Size of the squared rounding error of a centred column: (mean * 1e-16)^2 per row, by 1e-13."""
+    means = np.array([first[f"m{i}"] or 0.0 for i in range(d)])
+    return (means[:, None] ** 2) * n * 1e-19
 
 
 def target_correlation(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> DataFrame:

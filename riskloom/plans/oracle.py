@@ -303,6 +303,10 @@ SELECT row_key, round(probability, 6) AS probability, prediction, round({conf},
             for c, w in line.items()
         ]
     ) + ")"
+    top = f"""WITH {phi}, r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY row_key ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank FROM phi)
+SELECT row_key, feature, round(phi, 6) AS phi, rank, CASE WHEN phi > 0 THEN 'raises' ELSE 'lowers' END AS direction
+FROM r WHERE rank <= 2"""
     return {
         "risk_band": f"WITH {banded} SELECT c_custkey, round(probability, 6) AS probability, risk, {messages} AS message FROM banded",
         "gauge_band": f"""WITH {CUSTOMER_SQL} SELECT c_custkey, round(probability * 100, 6) AS gauge_value,
@@ -320,10 +324,8 @@ SELECT row_key, round(probability, 6) AS probability, prediction, round({conf},
         ),
         "explain_linear": f"""WITH {phi} SELECT row_key, feature, round(phi, 6) AS phi,
        round((SELECT CAST(-1.5 AS DOUBLE) + {base}), 6) AS base_value, 'log_odds' AS output_space FROM phi""",
-        "top_contributions": f"""WITH {phi}, r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY row_key ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank FROM phi)
-SELECT row_key, feature, round(phi, 6) AS phi, rank, CASE WHEN phi > 0 THEN 'raises' ELSE 'lowers' END AS direction
-FROM r WHERE rank <= 2""",
+        "top_contributions": top,
+        "top_contributions_stored": top,
         "global_importance": f"WITH {phi} SELECT feature, round(avg(abs(phi)), 6) AS importance FROM phi GROUP BY feature",
     }
 

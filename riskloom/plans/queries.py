@@ -494,7 +494,7 @@ def report_rows(spark, sf_dir):
     )
 
 
-def _line_attribution(spark, sf_dir) -> DataFrame:
+def _line_attribution(spark, sf_dir, top: int | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     means = rows.agg(*[F.avg(c).alias(c) for c in LINE_WEIGHTS]).first()
     named = rows.withColumn(
@@ -502,7 +502,7 @@ def _line_attribution(spark, sf_dir) -> DataFrame:
     )
     features = list(LINE_WEIGHTS)
     return explain.explain_linear(
-        named, "row_key", features, list(LINE_WEIGHTS.values()), [means[c] for c in features], LINE_INTERCEPT
+        named, "row_key", features, list(LINE_WEIGHTS.values()), [means[c] for c in features], LINE_INTERCEPT, top
     )
 
 
@@ -513,7 +513,14 @@ def explain_linear(spark, sf_dir):
 
 @query
 def top_contributions(spark, sf_dir):
-    """The two largest of four contributions."""
+    """The two largest of four contributions, ranked inside each record."""
+    top = _line_attribution(spark, sf_dir, 2)
+    return rounded(top.select("row_key", "feature", "phi", "rank", "direction"))
+
+
+@query
+def top_contributions_stored(spark, sf_dir):
+    """The same from the long attribution table."""
     top = explain.top_contributions(_line_attribution(spark, sf_dir), "row_key", 2)
     return rounded(top.select("row_key", "feature", "phi", "rank", "direction"))
 

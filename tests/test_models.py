@@ -101,6 +101,9 @@ def test_importance(trained):
 def test_linear_attribution_sums_to_log_odds(ring, trained):
     f = trained.fitted["Logistic Regression"]
     rows = scaled_test(ring, trained)
+    inside = ex.explain(rows, "id", f, top=2)
+    stored = ex.top_contributions(ex.explain(rows, "id", f), "id", 2).select(*inside.columns)
+    assert inside.exceptAll(stored).count() == 0 and inside.count() == stored.count() == 2 * rows.count()
     phi = ex.explain(rows, "id", f).groupBy("id").agg((F.sum("phi") + F.first("base_value")).alias("z"))
     p = f.model.predict(rows).select("id", F.log(F.col("probability") / (1 - F.col("probability"))).alias("logit"))
     gap = phi.join(p, "id").agg(F.max(F.abs(F.col("z") - F.col("logit")))).first()[0]

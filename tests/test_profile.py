@@ -18,15 +18,17 @@ def gaps(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_correlation_equals_pandas(gaps, monkeypatch):
+def test_correlation_equals_pandas(gaps):
     pdf, df = gaps
+    pdf = pdf.assign(far=pdf["a"] + 1e6, third=1 / 3)
+    df = df.withColumns({"far": F.col("a") + 1e6, "third": F.lit(1 / 3)})
     want = pdf.corr()
-    for batch in (100, 4):
-        monkeypatch.setattr(pr, "PAIRS_PER_PASS", batch)
-        got = {(r.a, r.b): r.r for r in pr.correlation_matrix(df, places=9).collect()}
-        assert len(got) == 25
+    for cols in (["a", "b", "c", "flat", "third", "far", "y"], ["a", "flat", "third", "far", "y"]):
+        got = {(r.a, r.b): r.r for r in pr.correlation_matrix(df, cols, places=9).collect()}
+        assert len(got) == len(cols) ** 2
         for (a, b), r in got.items():
-            assert (r is None) if "flat" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-8)
+            assert (r is None) if {"flat", "third"} & {a, b} else r == pytest.approx(want.loc[a, b], abs=1e-7)
+    assert all(r.r is None for r in pr.correlation_matrix(df.limit(0), ["a", "y"]).collect())
 
 
 def test_target_correlation_is_sorted(gaps):
