@@ -16,7 +16,7 @@ from riskloom.functions.columns import fixed, require_columns
 from riskloom.functions.session import BROADCAST_ROWS, checkpoint_dir
 from riskloom.operators.models import FEATURES, Fitted, assembled
 
-LEAVES_PER_CALL = 100_000
+LEAVES_PER_CALL = 50_000
 
 
 def _long(
@@ -208,6 +208,15 @@ def background_summary(
     return df.sparkSession.createDataFrame(rows, f"centroid int, weight double, {columns}")
 
 
+def summary_of(fitted: Fitted, seed: int = 42) -> DataFrame:
+    """The background of a fitted model: summarised from its training rows, or as it was saved."""
+    if fitted.background is None:
+        raise ValueError("the fitted model carries no background table")
+    if "weight" in fitted.background.columns:
+        return fitted.background
+    return background_summary(fitted.background, fitted.features, seed=seed)
+
+
 def explain_sampled(
     df: DataFrame,
     row_id: str,
@@ -290,9 +299,7 @@ def explain(
         )
     if how == "tree":
         return explain_tree(df, row_id, fitted, top)
-    if fitted.background is None:
-        raise ValueError("the fitted model carries no background table")
-    summary = background_summary(fitted.background, fitted.features, seed=seed)
+    summary = summary_of(fitted, seed)
     predict = fitted.model.predict
     if fitted.spec.kind == "knn":
         predict = lambda rows: fitted.model.predict(rows, "_walk")

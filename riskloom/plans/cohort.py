@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABEL = "target"
@@ -16,13 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_key() -> Column:
+    """Names a line item. The price in cents is part of it: the other four repeat now and then."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents.cast("string"))
+
+
+KEY_SQL = (
+    "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT))"
+)
+
+
 def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a record; gaps in three columns, and copies of the smallest orders' records."""
     copies = F.when(F.col("l_quantity") == 1, 2).otherwise(1)
     lines = table(spark, sf_dir, "lineitem").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     number = lambda c: c.cast("double")
     return lines.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"),
+        line_key().alias("row_key"),
         F.col("l_quantity").alias("age"),
         number((F.col("l_linestatus") == "F").cast("int")).alias("sex"),
         number(F.col("l_linenumber") % 4).alias("cp"),
@@ -38,8 +49,8 @@ def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-COHORT_SQL = """cohort AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key,
+COHORT_SQL = f"""cohort AS (
+  SELECT {KEY_SQL} AS row_key,
          l_quantity AS age,
          CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS sex,
          CAST(l_linenumber % 4 AS DOUBLE) AS cp,
@@ -91,7 +102,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     score = lambda name, c: F.struct(F.lit(name).alias("model"), c.alias("score"))
     return lines.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"),
+        line_key().alias("row_key"),
         ((F.col("l_returnflag") == "R") | (F.col("l_extendedprice") > 70000)).cast("int").alias("label"),
         F.inline(
             F.array(
@@ -103,14 +114,14 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
-SCORES_SQL = """scores AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, m.model,
+SCORES_SQL = f"""scores AS (
+  SELECT {KEY_SQL} AS row_key, m.model,
          CASE WHEN l_returnflag = 'R' OR l_extendedprice > 70000 THEN 1 ELSE 0 END AS label,
          m.score, CASE WHEN m.score > 0.5 THEN 1 ELSE 0 END AS prediction
   FROM (
-    SELECT *, unnest([{'model': 'price', 'score': l_extendedprice / CAST(105000 AS DOUBLE)},
-                      {'model': 'quantity', 'score': l_quantity / CAST(50 AS DOUBLE)},
-                      {'model': 'discount', 'score': l_discount}]) AS m
+    SELECT *, unnest([{{'model': 'price', 'score': l_extendedprice / CAST(105000 AS DOUBLE)}},
+                      {{'model': 'quantity', 'score': l_quantity / CAST(50 AS DOUBLE)}},
+                      {{'model': 'discount', 'score': l_discount}}]) AS m
     FROM lineitem
   )
 )"""

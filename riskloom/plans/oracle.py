@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskloom import config
-from riskloom.plans.cohort import CLEAN_SQL, COHORT_SQL, CUSTOMER_SQL, FEATURES, METRICS_SQL, SCORES_SQL, SPLIT_SQL
+from riskloom.plans.cohort import CLEAN_SQL, COHORT_SQL, CUSTOMER_SQL, FEATURES, KEY_SQL, METRICS_SQL, SCORES_SQL, SPLIT_SQL
 
 BINARY = f"""{COHORT_SQL},
 binary_cohort AS (SELECT * REPLACE (CASE WHEN target > 0 THEN 1 ELSE 0 END AS target) FROM cohort)"""
@@ -11,7 +11,6 @@ COLUMNS = ["row_key", *FEATURES, "target"]
 NUMERIC = [*FEATURES, "target"]
 KEPT = [c for c in FEATURES if c != "thal"]
 NUMBERS = ["age", "chol", "oldpeak", "slope", "ca"]
-KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 
 
 def text(s: str) -> str:
@@ -291,7 +290,7 @@ def _scoring() -> dict[str, str]:
     z = " + ".join(f"{w} * ({c} - m_{c}) / s_{c}" for c, w in weights.items())
     params = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in weights)
     scored = f"""WITH p AS (SELECT {params} FROM lineitem),
-s AS (SELECT {KEY} AS row_key, 1 / (1 + exp(-(CAST(-0.3 AS DOUBLE) + {z}))) AS probability FROM lineitem, p),
+s AS (SELECT {KEY_SQL} AS row_key, 1 / (1 + exp(-(CAST(-0.3 AS DOUBLE) + {z}))) AS probability FROM lineitem, p),
 t AS (SELECT *, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction FROM s)
 SELECT row_key, round(probability, 6) AS probability, prediction, round({conf}, 6) AS confidence,
        {diagnosis} AS diagnosis, {band('probability', 0.35, 0.65)} AS risk, 1 AS n_defaulted FROM t"""
@@ -299,7 +298,7 @@ SELECT row_key, round(probability, 6) AS probability, prediction, round({conf},
     base = " + ".join(f"CAST({w} AS DOUBLE) * (SELECT avg({c}) FROM lineitem)" for c, w in line.items())
     phi = "phi AS (" + _rows(
         [
-            f"SELECT {KEY} AS row_key, '{c}' AS feature, CAST({w} AS DOUBLE) * ({c} - (SELECT avg({c}) FROM lineitem)) AS phi FROM lineitem"
+            f"SELECT {KEY_SQL} AS row_key, '{c}' AS feature, CAST({w} AS DOUBLE) * ({c} - (SELECT avg({c}) FROM lineitem)) AS phi FROM lineitem"
             for c, w in line.items()
         ]
     ) + ")"

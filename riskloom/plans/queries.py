@@ -35,6 +35,7 @@ from riskloom.plans.cohort import (
     MODEL_ORDER,
     SPARSE,
     customer_risk,
+    line_key,
     model_scores,
     raw_cohort,
     table,
@@ -454,7 +455,7 @@ def confidence(spark, sf_dir):
 def _line_scores(spark, sf_dir) -> tuple[DataFrame, Fitted]:
     """Line items with a fixed logistic score on columns scaled over the whole table."""
     rows = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"), *LINE_WEIGHTS
+        line_key().alias("row_key"), *LINE_WEIGHTS
     )
     features = [*LINE_WEIGHTS, "ca"]
     scaler = fit_scaler(rows.withColumn("ca", F.lit(0.0)), features)
@@ -478,7 +479,7 @@ def score_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "lineitem").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")
     records = stream.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"), *LINE_WEIGHTS
+        line_key().alias("row_key"), *LINE_WEIGHTS
     )
     base = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
     write_scores(stream_of(records, fitted).select(*SCORED), f"{base}/rows", f"{base}/state").awaitTermination()
@@ -497,9 +498,7 @@ def report_rows(spark, sf_dir):
 def _line_attribution(spark, sf_dir, top: int | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     means = rows.agg(*[F.avg(c).alias(c) for c in LINE_WEIGHTS]).first()
-    named = rows.withColumn(
-        "row_key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    )
+    named = rows.withColumn("row_key", line_key())
     features = list(LINE_WEIGHTS)
     return explain.explain_linear(
         named, "row_key", features, list(LINE_WEIGHTS.values()), [means[c] for c in features], LINE_INTERCEPT, top

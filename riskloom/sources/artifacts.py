@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.operators.explain import summary_of
 from riskloom.operators.models import Fitted, KnnModel, ModelSpec, RbfModel, SparkModel
 from riskloom.sources.tables import exists
 
@@ -31,14 +32,18 @@ def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
 
 
 def save_fitted(fitted: Fitted, path: str) -> None:
-    """Model, scaler and columns under one folder. The metadata is written last and marks it whole."""
+    """Model, scaler and columns under one folder. The metadata is written last and marks it whole.
+
+    A model whose scores are attributed by sampling also keeps the summary of its training rows.
+    """
     spark = fitted.scaler.sparkSession
     fitted.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-    if fitted.background is not None:
-        fitted.background.write.mode("overwrite").parquet(f"{path}/background")
+    summarised = fitted.spec.explains == "sampled" and fitted.background is not None
+    if summarised:
+        summary_of(fitted).write.mode("overwrite").parquet(f"{path}/background")
     m, meta = fitted.model, {
         "name": fitted.spec.name, "kind": fitted.spec.kind, "explains": fitted.spec.explains,
-        "params": fitted.spec.params, "features": fitted.features, "background": fitted.background is not None,
+        "params": fitted.spec.params, "features": fitted.features, "background": summarised,
     }
     if isinstance(m, KnnModel):
         m.train.write.mode("overwrite").parquet(f"{path}/train")

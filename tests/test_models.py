@@ -209,6 +209,10 @@ def test_save_and_load(spark, ring, trained, name, tmp_path):
     b = score(test, again).select("id", F.col("probability").alias("p2"), F.col("risk").alias("r2"))
     assert a.join(b, "id").where("abs(probability - p2) > 1e-12 OR risk <> r2").count() == 0
     assert a.count() == test.count()
+    if name == "Rbf":
+        assert again.background.count() == 50
+        few = scaled_test(ring, trained).orderBy("id").limit(2)
+        assert ex.explain(few, "id", again, n_perm=2).count() == 6
 
 
 def test_save_and_load_results(spark, trained, tmp_path):
