@@ -47,7 +47,7 @@ REGISTRY = [
     ModelSpec("Decision Tree", "tree", "tree", {"depth": 8}),
     ModelSpec("K-Nearest Neighbors", "knn", "sampled", {"k": 7}),
     ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 128}),
-    ModelSpec("XGBoost", "gbt", "tree", {"rounds": 200, "rate": 0.05, "depth": 6}),
+    ModelSpec("Gradient Boosting", "gbt", "tree", {"rounds": 200, "rate": 0.05, "depth": 6}),
 ]
 ORDER = [m.name for m in REGISTRY]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +14,16 @@ from riskloom.functions.columns import nan_to_null, rows_of
 # A group of at most this many values is sorted in one task; a larger one is narrowed first.
 SORTED_VALUES = 1_000_000
 CELLS_PER_PASS = 32
-APPROX_ACCURACY = 10_000
+# Rank error of a proposal; its digests stay small enough to be merged from very many tasks.
+PROPOSAL_ERROR = 1.0 / 2000
 
 
 @dataclass
 class _Target:
-    """One percentile of one (class, column) cell, and the open interval that still holds it."""
+    """One percentile of one (class, column) cell, and the open interval that holds its open ranks.
+
+    A percentile lies between two neighbouring ranks; `known` has the values of those found so far.
+    """
 
     value: Column
     position: float
@@ -28,14 +32,20 @@ class _Target:
     high: float | None = None
     upto_low: int = 0
     below_high: int | None = None
-    margin: float = 4.0 / APPROX_ACCURACY
-    answer: float | None = None
+    margin: float = 4 * PROPOSAL_ERROR
+    known: dict[int, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.below_high = self.total
         self.first = math.floor(self.position)
         self.second = math.ceil(self.position)
 
+    def open_ranks(self) -> list[int]:
+        return [r for r in (self.first, self.second) if r not in self.known]
+
+    def open_count(self) -> int:
+        return self.below_high - self.upto_low
+
     def inside(self) -> Column:
         keep = F.lit(True)
         if self.low is not None:
@@ -44,26 +54,18 @@ class _Target:
             keep = keep & (self.value < F.lit(self.high))
         return F.when(keep, self.value)
 
-    def open_count(self) -> int:
-        return self.below_high - self.upto_low
-
-    def pick(self, rank: int, values: Sequence[float]) -> float:
-        if rank < self.upto_low:
-            return self.low
-        if rank >= self.below_high:
-            return self.high
-        return values[rank - self.upto_low]
+    def settle(self) -> None:
+        """A rank within the run of an end has that end's value."""
+        for r in self.open_ranks():
+            if r < self.upto_low:
+                self.known[r] = self.low
+            elif r >= self.below_high:
+                self.known[r] = self.high
 
-    def finish(self, values: Sequence[float]) -> None:
-        a, b = self.pick(self.first, values), self.pick(self.second, values)
+    def answer(self) -> float:
         share = self.position - self.first
-        self.answer = a if self.first == self.second else a * (1 - share) + b * share
-
-    def on_ends(self) -> bool:
-        def outside(rank: int) -> bool:
-            return rank < self.upto_low or rank >= self.below_high
-
-        return outside(self.first) and outside(self.second)
+        a, b = self.known[self.first], self.known[self.second]
+        return a if self.first == self.second else a * (1 - share) + b * share
 
 
 def _batches(items: list, size: int):
@@ -73,23 +75,24 @@ def _batches(items: list, size: int):
 def _narrow(df: DataFrame, targets: list[_Target], limit: int) -> None:
     """Two passes per round, no shuffle of rows: propose an interval, then count around it.
 
-    The open interval loses all but about a thousandth of its rows in each round; a value that is
+    The open interval keeps well under a hundredth of its rows in each round; a value that is
     repeated often becomes an end of the interval and leaves it at once.
     """
-    wide = [t for t in targets if t.answer is None and t.open_count() > limit and not t.on_ends()]
+    wide = [t for t in targets if t.open_ranks() and t.open_count() > limit]
     for batch in _batches(wide, CELLS_PER_PASS):
-        asked = []
-        for i, t in enumerate(batch):
-            n = t.open_count()
-            span = (max(t.first, t.upto_low) - t.upto_low, min(t.second, t.below_high - 1) - t.upto_low)
-            shares = [max(0.0, span[0] / n - t.margin), min(1.0, span[1] / n + t.margin)]
-            asked.append(
-                F.percentile_approx(t.inside(), F.array(*[F.lit(s) for s in shares]), APPROX_ACCURACY).alias(f"p{i}")
-            )
-        ends = df.agg(*asked).first()
+        shares = []
+        for t in batch:
+            n, ranks = t.open_count(), [r - t.upto_low for r in t.open_ranks()]
+            shares.append((max(0.0, min(ranks) / n - t.margin), min(1.0, max(ranks) / n + t.margin)))
+        probs = sorted({p for pair in shares for p in pair})
+        names = [f"t{i}" for i in range(len(batch))]
+        open_values = df.select(*[t.inside().alias(c) for t, c in zip(batch, names)])
+        # Digests are merged in a tree, not all in one task.
+        found = open_values.stat.approxQuantile(names, probs, PROPOSAL_ERROR)
+        ends = [(q[probs.index(lo)], q[probs.index(hi)]) for q, (lo, hi) in zip(found, shares)]
         counts = []
         for i, t in enumerate(batch):
-            low, high = ends[f"p{i}"]
+            low, high = ends[i]
             counts += [
                 F.count_if(t.value < low).alias(f"lt_low{i}"),
                 F.count_if(t.value <= low).alias(f"le_low{i}"),
@@ -98,35 +101,31 @@ def _narrow(df: DataFrame, targets: list[_Target], limit: int) -> None:
             ]
         got = df.agg(*counts).first()
         for i, t in enumerate(batch):
-            low, high = ends[f"p{i}"]
-            below_ok = got[f"lt_low{i}"] <= max(t.first, t.upto_low)
-            above_ok = got[f"le_high{i}"] > min(t.second, t.below_high - 1)
+            low, high = ends[i]
+            below_ok = got[f"lt_low{i}"] <= min(t.open_ranks())
+            above_ok = got[f"le_high{i}"] > max(t.open_ranks())
             if below_ok:
                 t.low, t.upto_low = low, got[f"le_low{i}"]
             if above_ok:
                 t.high, t.below_high = high, max(got[f"lt_high{i}"], t.upto_low)
             if not (below_ok and above_ok):
                 t.margin = min(1.0, t.margin * 8)
+            t.settle()
 
 
 def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
-    while any(t.open_count() > limit and not t.on_ends() for t in targets):
+    while any(t.open_ranks() and t.open_count() > limit for t in targets):
         _narrow(df, targets, limit)
-    ready = [t for t in targets if not t.on_ends()]
-    for t in targets:
-        if t.on_ends():
-            t.finish([])
-    for batch in _batches(ready, CELLS_PER_PASS):
-        lists = [F.array_sort(F.collect_list(t.inside())) for t in batch]
-        picks = []
-        for i, (t, values) in enumerate(zip(batch, lists)):
-            for name, rank in (("a", t.first), ("b", t.second)):
-                at = min(max(rank - t.upto_low, 0), t.open_count() - 1) + 1
-                picks.append(F.try_element_at(values, F.lit(at)).alias(f"{name}{i}"))
+    for batch in _batches([t for t in targets if t.open_ranks()], CELLS_PER_PASS):
+        # At most `limit` values per list.
+        picks = [
+            F.element_at(F.array_sort(F.collect_list(t.inside())), r - t.upto_low + 1).alias(f"t{i}_{r}")
+            for i, t in enumerate(batch)
+            for r in t.open_ranks()
+        ]
         got = df.agg(*picks).first()
         for i, t in enumerate(batch):
-            inside = {t.first - t.upto_low: got[f"a{i}"], t.second - t.upto_low: got[f"b{i}"]}
-            t.finish(inside)
+            t.known.update({r: got[f"t{i}_{r}"] for r in t.open_ranks()})
 
 
 def exact_percentiles(
@@ -180,7 +179,7 @@ def exact_percentiles(
             cells.append((r, c, mine))
             targets += mine
     _solve(df, targets, limit)
-    solved = [(*[r[b] for b in by], c, [t.answer for t in mine]) for r, c, mine in cells]
+    solved = [(*[r[b] for b in by], c, [t.answer() for t in mine]) for r, c, mine in cells]
     found = df.sparkSession.createDataFrame(solved, out.schema)
     keep = F.lit(True)
     for r, c, _ in cells:

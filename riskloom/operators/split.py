@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import require_columns
 
-PREFIX_STEP = 4
+# Leading digits counted per pass: 16^3 groups per class leave each task.
+PREFIX_STEP = 3
 LISTED_HASHES = 100_000
 
 
@@ -45,7 +46,7 @@ def _thresholds(df: DataFrame, label: str, wanted: dict) -> dict:
         for c, p in prefix.items():
             inside = inside | ((F.col(label) == F.lit(c)) & F.col("_h").startswith(p))
         counts = df.where(inside).groupBy(label, F.substring("_h", 1, depth).alias("p")).agg(F.count("*").alias("n"))
-        # At most 16^4 rows per class.
+        # At most 16^3 rows per class.
         order = Window.partitionBy(label).orderBy("p")
         need = F.lit(0)
         for c in prefix:

@@ -546,7 +546,7 @@ def explain_sampled(spark, sf_dir):
 @query
 def explain_boosted(spark, sf_dir):
     done, test = trained(spark, sf_dir, [quick_spec("gbt")])
-    fitted = done.fitted["XGBoost"]
+    fitted = done.fitted["Gradient Boosting"]
     return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
 
 

@@ -27,6 +27,15 @@ def test_percentiles_equal_pandas_on_both_ways(spark):
             assert np.allclose(got[k], want[k], rtol=1e-12, atol=1e-12), (limit, k)
 
 
+def test_every_pair_of_neighbours(spark):
+    """Each percentile falls between two ranks; many of the pairs cross the end of a run of ties."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": np.where(rng.random(120) < 0.5, rng.integers(0, 6, 120), rng.random(120) * 6)})
+    probs = [(i + 0.5) / 119 for i in range(0, 119, 2)]
+    row = qt.exact_percentiles(spark.createDataFrame(pdf), ["x"], probs, limit=1).first()
+    assert np.allclose(row["q"], pdf["x"].quantile(probs), rtol=1e-12)
+
+
 def test_small_and_large_groups_together(spark):
     pdf = hot_values(800, 2)
     rows = qt.exact_percentiles(spark.createDataFrame(pdf), ["x"], [0.5], ["g"], limit=300).collect()
