@@ -27,11 +27,11 @@ def raw_name(display: str, names: Mapping[str, str]) -> str:
 def map_codes(df: DataFrame, col: str, mapping: Mapping, to: str | None = None) -> DataFrame:
     """Label of each code in `to`; a code without a label gives NULL."""
     require_columns(df, col)
-    return df.withColumn(to or col, lookup(F.col(col).cast("int") if _int_keys(mapping) else F.col(col), mapping))
-
-
-def _int_keys(mapping: Mapping) -> bool:
-    return all(isinstance(k, int) for k in mapping)
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.NumericType) and all(isinstance(k, (int, float)) for k in mapping):
+        # As double on both sides: 1.0 finds code 1, and 1.5 finds none.
+        c, mapping = c.cast("double"), {float(k): v for k, v in mapping.items()}
+    return df.withColumn(to or col, lookup(c, mapping))
 
 
 def melt(

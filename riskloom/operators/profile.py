@@ -267,7 +267,8 @@ def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int
     """Gaussian kernel density per class on an even grid over the column's range: (by, x, density).
 
     Every row counts. Kernel sums are combined before their shuffle, which carries one row per
-    (class, grid point). Where values repeat often, equal ones are first merged to one weighted row.
+    (class, grid point). Where values repeat often, equal ones are first merged to one weighted row. A
+    class whose values are all the same has no bandwidth and no curve.
     """
     require_columns(df, col, by)
     rows = nan_to_null(df.select(by, F.col(col).cast("double").alias("v"))).where(

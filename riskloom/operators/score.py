@@ -57,11 +57,19 @@ def with_defaults(df: DataFrame, features: Sequence[str], defaults: Mapping[str,
 def score(df: DataFrame, fitted, defaults: Mapping[str, float] | None = None, cuts: Sequence[float] = RISK_CUTS):
     """Probability, prediction, confidence, diagnosis and risk band for each record.
 
-    The raw columns stay; the scaled ones live only inside. Works the same on a stream.
+    The raw columns stay; the scaled ones live only inside. A record with a missing feature keeps its
+    row and has no score. Works the same on a stream.
     """
-    raw = with_defaults(df, fitted.features, defaults)
+    raw = nan_to_null(with_defaults(df, fitted.features, defaults), fitted.features)
     hidden = {c: f"_raw_{c}" for c in fitted.features}
     kept = raw.withColumns({h: F.col(c) for c, h in hidden.items()})
-    scored = fitted.model.predict(apply_scaler(kept, fitted.scaler))
+    scaled = apply_scaler(kept, fitted.scaler)
+    # A gap must not stop the batch or the stream: it is filled for the model and its score taken back.
+    filled = scaled.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in fitted.features})
+    whole = F.lit(True)
+    for h in hidden.values():
+        whole = whole & F.col(h).isNotNull()
+    scored = fitted.model.predict(filled)
+    scored = scored.withColumns({c: F.when(whole, F.col(c)) for c in ("probability", "prediction")})
     scored = scored.withColumns({c: F.col(h) for c, h in hidden.items()}).drop(*hidden.values())
     return risk_band(confidence(scored, "probability"), "probability", cuts)

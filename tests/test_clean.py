@@ -100,6 +100,12 @@ def test_unmapped_codes(spark):
     assert kept.agg(F.sum("count")).first()[0] == 4
 
 
+def test_code_between_two_codes_has_no_label(spark):
+    df = spark.createDataFrame([(1.0,), (0.5,), (0.0,), (-0.0,)], "sex double")
+    got = [r.word for r in codes.map_codes(df, "sex", config.CODE_LABELS["sex"], "word").collect()]
+    assert got == ["Male", None, "Female", "Female"]
+
+
 def test_names(spark):
     assert codes.raw_name("Cholesterol", config.DISPLAY_NAMES) == "chol"
     assert codes.raw_name("other", config.DISPLAY_NAMES) == "other"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.operators import score as sc
-from riskloom.operators.models import Fitted, LinearScore, spec_of
+from riskloom.operators.models import Fitted, LinearScore, ModelSpec, fit_model, spec_of
 from riskloom.operators.report import report_file_name, report_rows
 from riskloom.operators.scale import fit_scaler
 from riskloom.sources import tables as tb
@@ -96,6 +96,23 @@ def test_score_keeps_raw_values(spark):
     assert row.diagnosis == ("Positive" if row.prediction == 1 else "Negative")
 
 
+def test_gap_has_no_score(spark, ring_free_model):
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 3.0), (3, float("nan"), 3.0)], "id int, age double, chol double")
+    for f in (fitted(spark), ring_free_model):
+        rows = {r.id: r for r in sc.score(df, f).collect()}
+        assert rows[1].probability is not None and rows[2].chol == 3.0
+        for i in (2, 3):
+            assert (rows[i].probability, rows[i].prediction, rows[i].risk, rows[i].diagnosis) == (None,) * 4
+
+
+@pytest.fixture
+def ring_free_model(spark):
+    train = records(spark).withColumn("y", (F.col("age") > 3).cast("int")).withColumn("ca", F.lit(0.0))
+    scaler = fit_scaler(train, ["age", "chol", "ca"])
+    model = fit_model(ModelSpec("Tree", "tree", "tree", {"depth": 2}), train, ["age", "chol", "ca"], "y", "id")
+    return Fitted(spec_of("tree"), model, scaler, ["age", "chol", "ca"])
+
+
 def test_report(spark):
     scored = spark.createDataFrame(
         [(7, 54.0, 0.3455, 0, 0.6545, "Negative", "Low")],
