@@ -33,12 +33,15 @@ def running_totals(
 ) -> DataFrame:
     """One row per (by, order) with the totals there, up to there, overall, and at the next value.
 
+    Rows without a value or without a group are left out.
+
     Equal values are added up first, so a value held by a third of the rows is one row. The values
     are then cut into buckets: totals per bucket give each bucket's offset (a window over at most
     `buckets` rows per group), and the sorted windows run inside (by, bucket).
     """
     by = list(by)
     rows = df.withColumn(order, F.col(order).cast("double")).where(F.col(order).isNotNull() & ~F.isnan(order))
+    rows = rows.dropna(subset=by) if by else rows
     splits = value_splits(rows, order, buckets or default_buckets(df))
     at_value = rows.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     edges = [float("-inf"), *(splits or [0.0]), float("inf")]
