@@ -16,7 +16,8 @@ from riskloom.functions.session import cut_lineage
 # Rows of one side that meet in one task.
 TRAIN_BLOCK = 20_000
 QUERY_BLOCK = 50_000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
+# Rows whose distances to a block, or to all pivots, are held at once.
 CHUNK = 256
 
 
@@ -31,9 +32,12 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _nearest_cell(pivots: np.ndarray):
     @F.pandas_udf("cell int, dist double")
     def nearest(xs: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(xs.to_numpy()), pivots)
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"cell": at.astype("int32"), "dist": np.sqrt(d[np.arange(len(at)), at])})
+        x, cells, dists = np.stack(xs.to_numpy()), [], []
+        for start in range(0, len(x), CHUNK):
+            d = _distances(x[start : start + CHUNK], pivots)
+            cells.append(d.argmin(axis=1).astype("int32"))
+            dists.append(np.sqrt(d.min(axis=1)))
+        return pd.DataFrame({"cell": np.concatenate(cells), "dist": np.concatenate(dists)})
 
     return nearest
 
@@ -43,23 +47,31 @@ def _cells_in_reach(pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far
     home pivot and another one, by the half-space that belongs to that pivot."""
     between = np.sqrt(_distances(pivots, pivots))
 
-    @F.pandas_udf("array<int>")
-    def reach(xs: pd.Series, home: pd.Series, kth: pd.Series) -> pd.Series:
-        d = np.sqrt(_distances(np.stack(xs.to_numpy()), pivots))
-        h = home.to_numpy()
+    def visits(x: np.ndarray, h: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        d = np.sqrt(_distances(x, pivots))
         # Within d + far of the row lie all rows of that cell: enough cells give an upper bound.
         outer = np.where(count > 0, d + far, np.inf)
         order = outer.argsort(axis=1)
         enough = (np.cumsum(count[order], axis=1) >= k).argmax(axis=1)
         rows = np.arange(len(h))
-        bound = np.minimum(outer[rows, order[rows, enough]], np.sqrt(kth.fillna(np.inf).to_numpy(dtype=float)))
+        bound = np.minimum(outer[rows, order[rows, enough]], kth)
         gap = between[h]
         with np.errstate(divide="ignore", invalid="ignore"):
             half = np.where(gap > 0, (d**2 - d[rows, h][:, None] ** 2) / (2 * gap), 0.0)
         least = np.maximum(np.maximum(d - far, near - d), half)
         visit = (least <= (bound * (1 + 1e-9) + 1e-12)[:, None]) & (count > 0)
         visit[rows, h] = False
-        return pd.Series([np.flatnonzero(v).astype("int32") for v in visit])
+        return [np.flatnonzero(v).astype("int32") for v in visit]
+
+    @F.pandas_udf("array<int>")
+    def reach(xs: pd.Series, home: pd.Series, kth: pd.Series) -> pd.Series:
+        x, h = np.stack(xs.to_numpy()), home.to_numpy()
+        kth = np.sqrt(kth.fillna(np.inf).to_numpy(dtype=float))
+        out = []
+        for start in range(0, len(x), CHUNK):
+            part = slice(start, start + CHUNK)
+            out += visits(x[part], h[part], kth[part])
+        return pd.Series(out)
 
     return reach
 
@@ -149,6 +161,10 @@ def nearest_neighbours(
     total = rows.count()
     if total < k:
         raise ValueError(f"{k} neighbours asked of {total} training rows")
+    # Of equal vectors only the k smallest ids can be neighbours. The limit is applied before the
+    # shuffle too, so a vector that a third of the rows share leaves each task as k rows.
+    copy = F.row_number().over(Window.partitionBy("_x").orderBy("_s"))
+    rows = cut_lineage(rows.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy"))
     n_pivots = pivots or min(MAX_PIVOTS, max(1, math.isqrt(total) // 4))
     chosen = rows.orderBy(F.xxhash64("_s"), "_s").limit(n_pivots).select("_x").collect()
     points = np.unique(np.array([r["_x"] for r in chosen], dtype=float), axis=0)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import require_columns
-from riskloom.functions.session import reuse
+from riskloom.functions.session import cut_lineage, reuse
 from riskloom.operators.evaluate import classification_metrics, roc_curve
 from riskloom.operators.knn import knn_score
 from riskloom.operators.scale import apply_scaler, fit_scaler
@@ -149,7 +149,8 @@ class KnnModel:
         """`query_id` must name each row of `df`; the training row id by default."""
         query_id = query_id or self.row_id
         scores = knn_score(self.train, df, self.features, self.label, self.row_id, query_id, self.k)
-        return df.join(scores, query_id)
+        # Metrics and curves read the scores again; the neighbour join runs once.
+        return df.join(cut_lineage(scores), query_id)
 
 
 def _fit_rbf(train, features, label, n, params, seed, folds=3):
