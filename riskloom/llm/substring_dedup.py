@@ -86,8 +86,8 @@ class _Digests(dict):
         return self
 
 
-def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, sign, first, windows, anchor, path) of every path of every row; sign names the text among rows of one id."""
+def paths(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, sign, first, windows, anchor, path) of every path of every keyed row; sign names the text among rows of one id."""
     def make():
         digests = _Digests()
 
@@ -111,62 +111,76 @@ def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 
         return work
 
-    return map_chunks(_keyed(docs), "text", "id long, sign long, first long, windows long, anchor long, path long", make)
+    return map_chunks(keyed.select(F.col("__id").alias("id"), F.col("__sign").alias("sign"), "text"), "text", "id long, sign long, first long, windows long, anchor long, path long", make)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(id_key().alias("id"), F.xxhash64("text").alias("sign"), "text")
+    """The rows with the key that their spans are joined by."""
+    return docs.withColumns({"__id": id_key(), "__sign": F.xxhash64("text")})
 
 
-def _opened(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, at, hash, source): the windows of each wanted path, read at its source coordinates."""
-    listed = wanted.groupBy("id", "sign").agg(F.collect_list(F.struct("first", "windows", "anchor", "path")).alias("paths"))
+def _opened(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(anchor, path, high, at, hash, source): the windows of each wanted path, read at its source coordinates."""
+    listed = wanted.groupBy(F.col("id").alias("__i"), F.col("sign").alias("__s")).agg(F.collect_list(F.struct("first", "windows", "anchor", "path", "high")).alias("__paths"))
+    # All columns go along, so that this join and that of the spans can share one exchange of the rows.
+    rows = keyed.join(listed, (F.col("__id") == F.col("__i")) & (F.col("__sign") == F.col("__s")))
 
     def make():
         digests = _Digests()
 
         def work(chunk):
-            found = {k: [] for k in ("anchor", "path", "at", "hash", "source")}
-            for i, text, own in zip(chunk.column("id").to_pylist(), texts_of(chunk.column("text")), chunk.column("paths").to_pylist()):
+            found = {k: [] for k in ("anchor", "path", "high", "at", "hash", "source")}
+            for i, text, own in zip(chunk.column("__id").to_pylist(), texts_of(chunk.column("text")), chunk.column("__paths").to_pylist()):
                 hashed = Hashed(text.split(), digests.trimmed())
                 for p in own:
                     at = np.arange(p["windows"])
                     found["hash"].append(hashed.runs(at + p["first"], at + p["first"] + window).view(np.int64))
                     found["at"].append(at)
-                    for k, v in (("anchor", p["anchor"]), ("path", p["path"]), ("source", i)):
+                    for k, v in (("anchor", p["anchor"]), ("path", p["path"]), ("high", p["high"]), ("source", i)):
                         found[k].append(np.full(len(at), v, dtype=np.int64))
             return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in found.items()}
 
         return work
 
-    return map_chunks(_keyed(docs).join(listed, ["id", "sign"]), "text", "anchor long, path long, at long, hash long, source long", make)
+    return map_chunks(rows, "text", "anchor long, path long, high long, at long, hash long, source long", make)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, sign, spans): word spans (begin, end) of each row that lie under windows found in rows of smaller id."""
-    every = reuse(paths(docs, window, anchor))
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(__i, __s, __spans): word spans (begin, end) of each keyed row that lie under windows found in rows of smaller id."""
+    every = reuse(paths(keyed, window, anchor))
     anchors = (
         every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("path").alias("p0"), F.max("path").alias("p1"))
         .filter("low < high").select("anchor", "low", (F.col("p0") != F.col("p1")).alias("branches"))
     )
     anchors = cut_lineage(anchors)
-    hits = cut_lineage(every.join(checked_broadcast(anchors, SENT_ANCHORS), "anchor"))
+    hits = reuse(every.join(checked_broadcast(anchors, SENT_ANCHORS), "anchor"))
     straight = hits.filter("not branches and low < id").select(
         "id", "sign", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + window - 1).alias("end"),
     )
     branching = hits.filter("branches")
-    sources = branching.groupBy("anchor", "path").agg(F.min(F.struct("id", "sign", "first", "windows")).alias("s")).select("anchor", "path", "s.*")
-    opened = cut_lineage(_opened(docs, sources, window).distinct())
+    sources = (
+        branching.groupBy("anchor", "path").agg(F.min(F.struct("id", "sign", "first", "windows")).alias("s"), F.max("id").alias("high"))
+        .select("anchor", "path", "s.*", "high")
+    )
+    opened = _opened(keyed, sources, window)
     least = opened.groupBy("anchor", "hash").agg(F.min("source").alias("low"))
-    by_path = opened.join(least, ["anchor", "hash"]).groupBy("anchor", "path").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("lows"))
+    # A path's own window tells nothing to a path that only its source has.
+    by_path = (
+        opened.join(least, ["anchor", "hash"]).filter("low < high")
+        .groupBy("anchor", "path").agg(F.collect_set(F.struct("at", "low")).alias("lows"))
+    )
     bent = (
         branching.drop("low").join(by_path, ["anchor", "path"])
         .withColumn("lows", F.expr("filter(lows, w -> w.low < id)")).filter("size(lows) > 0")
         .select("id", "sign", F.explode("lows").alias("w"), "first")
         .select("id", "sign", (F.col("first") + F.col("w.at")).alias("begin"), (F.col("first") + F.col("w.at") + window).alias("end"))
     )
-    spans = straight.union(bent).distinct().groupBy("id", "sign").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return spans
+    return straight.union(bent).groupBy(F.col("id").alias("__i"), F.col("sign").alias("__s")).agg(F.collect_set(F.struct("begin", "end")).alias("__spans"))
+
+
+def _with_spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
+    spans = repeated_spans(keyed, window, anchor)
+    return keyed.join(spans, (F.col("__id") == F.col("__i")) & (F.col("__sign") == F.col("__s")), "left")
 
 
 def removed_words(n: int, spans: list | None) -> np.ndarray:
@@ -180,13 +194,13 @@ def removed_words(n: int, spans: list | None) -> np.ndarray:
 
 def dedup_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    spans = repeated_spans(docs, window, anchor)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), F.xxhash64("text").alias("sign"), "text").join(spans, ["id", "sign"], "left")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = _with_spans(keyed, window, anchor)
 
     def make():
         def work(chunk):
             n_words, n_removed, digest = [], [], []
-            for text, own in zip(texts_of(chunk.column("text")), chunk.column("spans").to_pylist()):
+            for text, own in zip(texts_of(chunk.column("text")), chunk.column("__spans").to_pylist()):
                 words = text.split()
                 n_words.append(len(words))
                 if own:
@@ -206,8 +220,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     A column n_chars, where there is one, counts the characters of the new text.
     """
-    spans = repeated_spans(docs, window, anchor).withColumnsRenamed({"id": "__id", "sign": "__sign", "spans": "__spans"})
-    joined = docs.join(spans, (id_key() == F.col("__id")) & (F.xxhash64("text") == F.col("__sign")), "left").drop("__id", "__sign")
+    joined = _with_spans(_keyed(docs), window, anchor)
     names = docs.columns
 
     def run(batches):
