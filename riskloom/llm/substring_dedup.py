@@ -34,6 +34,8 @@ WINDOW = 50
 ANCHOR = 20
 # Repeated anchors that are broadcast; more are joined by shuffle.
 SENT_ANCHORS = 1_000_000
+# Paths that so many rows have that their join is spread.
+HOT_PATHS = 2_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -159,18 +161,24 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     )
     branching = hits.filter("branches")
     sources = (
-        branching.groupBy("anchor", "path").agg(F.min(F.struct("id", "sign", "first", "windows")).alias("s"), F.max("id").alias("high"))
-        .select("anchor", "path", "s.*", "high")
+        branching.groupBy("anchor", "path").agg(F.min(F.struct("id", "sign", "first", "windows")).alias("s"), F.max("id").alias("high"), F.count(F.lit(1)).alias("times"))
+        .select("anchor", "path", "s.*", "high", "times")
     )
+    # At most HOT_PATHS paths have more than this share of the rows; theirs are spread over salts.
+    share = branching.count() // HOT_PATHS + 1
+    hot = F.broadcast(sources.filter(F.col("times") > share).select("anchor", "path", F.ceil(F.col("times") / share).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
     opened = _opened(keyed, sources, window)
     least = opened.groupBy("anchor", "hash").agg(F.min("source").alias("low"))
     # A path's own window tells nothing to a path that only its source has.
     by_path = (
         opened.join(least, ["anchor", "hash"]).filter("low < high")
         .groupBy("anchor", "path").agg(F.collect_set(F.struct("at", "low")).alias("lows"))
+        .join(hot, ["anchor", "path"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     )
     bent = (
-        branching.drop("low").join(by_path, ["anchor", "path"])
+        branching.drop("low").join(hot, ["anchor", "path"], "left").withColumn("salt", F.pmod(F.hash("id", "first"), salts))
+        .join(by_path, ["anchor", "path", "salt"])
         .withColumn("lows", F.expr("filter(lows, w -> w.low < id)")).filter("size(lows) > 0")
         .select("id", "sign", F.explode("lows").alias("w"), "first")
         .select("id", "sign", (F.col("first") + F.col("w.at")).alias("begin"), (F.col("first") + F.col("w.at") + window).alias("end"))
