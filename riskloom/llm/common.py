@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text bytes that a worker holds as Python objects at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 # A null id takes the last place in every order over ids.
 NO_ID = (1 << 63) - 1
@@ -28,7 +29,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batch that hold about CHUNK_BYTES of text each."""
     sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column(text).cast(pa.large_binary())).to_pylist()], dtype=np.int64)
     if not len(sizes):
@@ -44,12 +45,11 @@ def map_chunks(df: DataFrame, text: str, schema: str | T.StructType, make: Calla
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, work = to_arrow_schema(struct), make()
         for batch in batches:
-            for chunk in _chunks(batch, text):
+            for chunk in chunks(batch, text):
                 out = work(chunk)
                 columns = [out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[f.name], type=f.type) for f in arrow]
                 table = pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -66,6 +66,26 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     return store[key]
 
 
+class Memory:
+    """Values by key in two generations: what is asked again moves to the young one, and the old one is dropped when that is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys without a value; every other one is in ``young`` until the next call."""
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_chunks, texts_of
+from riskloom.llm.common import chunks, map_chunks, texts_of
 
 Q = 10
 # Edits allowed per character of an item, and the shortest item that counts.
@@ -234,7 +234,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET, min_chars
     ]
 
     def clean(batches):
-        for batch in batches:
+        for batch in (c for b in batches for c in chunks(b, "text")):
             found = []
             for text in texts_of(batch.column("text")):
                 codes = normal(text)

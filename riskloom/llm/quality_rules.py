@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, checked_broadcast, map_chunks, texts_of
+from riskloom.llm.common import SPACE, checked_broadcast, chunks, map_chunks, texts_of
 
 # Bytes of an n-gram, and hashed buckets of the two multinomials.
 GRAM = 4
@@ -162,7 +162,7 @@ def keep(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> Da
         import pyarrow as pa
 
         values = table.value.astype(np.float64)
-        for batch in batches:
+        for batch in (c for b in batches for c in chunks(b, "text")):
             texts = texts_of(batch.column("text"))
             kept = []
             for a in range(0, len(texts), 256):

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.session import cut_lineage, reuse
-from riskloom.llm.common import checked_broadcast, id_key, map_chunks, texts_of
+from riskloom.llm.common import Memory, checked_broadcast, chunks, id_key, map_chunks, texts_of
 
 WINDOW = 50
 # Words of a k-mer that can be an anchor.
 ANCHOR = 20
 # Repeated anchors that are broadcast; more are joined by shuffle.
 SENT_ANCHORS = 1_000_000
+# Word hashes kept in each of a memory's two generations.
+WORDS = 100_000
 # Paths that so many rows have that their join is spread.
 HOT_PATHS = 2_000
 
@@ -50,12 +52,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Hashed:
     """Word hashes of a text, and the hash of any run of its words."""
 
-    def __init__(self, words: list[bytes], digests: dict[bytes, int]):
+    def __init__(self, words: list[bytes], digests: Memory):
         import xxhash
 
-        new, digest = {w for w in words if w not in digests}, xxhash.xxh3_64_intdigest
-        digests.update((w, digest(w)) for w in new)
-        h = np.fromiter((digests[w] for w in words), dtype=np.uint64, count=len(words))
+        digest = xxhash.xxh3_64_intdigest
+        new = digests.missing(set(words))
+        known = digests.young
+        known.update((w, digest(w)) for w in new)
+        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
         powers = np.full(len(words) + 1, _BASE, dtype=np.uint64)
         powers[0] = 1
         self.back = np.full(len(words) + 1, _INVERSE, dtype=np.uint64)
@@ -79,26 +83,17 @@ def _paths(hashed: Hashed, n: int, window: int, anchor: int) -> tuple[np.ndarray
     return first, count, kmers[place[first]], hashed.runs(first, first + count + window - 1)
 
 
-class _Digests(dict):
-    """Word hashes kept from text to text; emptied when large."""
-
-    def trimmed(self) -> _Digests:
-        if len(self) > 500_000:
-            self.clear()
-        return self
-
-
 def paths(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, sign, first, windows, anchor, path) of every path of every keyed row; sign names the text among rows of one id."""
     def make():
-        digests = _Digests()
+        digests = Memory(WORDS)
 
         def work(chunk):
             ids, signs, out = [], [], []
             for i, s, text in zip(chunk.column("id").to_pylist(), chunk.column("sign").to_pylist(), texts_of(chunk.column("text"))):
                 words = text.split()
                 if len(words) >= window:
-                    found = _paths(Hashed(words, digests.trimmed()), len(words), window, anchor)
+                    found = _paths(Hashed(words, digests), len(words), window, anchor)
                     ids.append((i, len(found[0])))
                     signs.append(s)
                     out.append(found)
@@ -128,12 +123,12 @@ def _opened(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     rows = keyed.join(listed, (F.col("__id") == F.col("__i")) & (F.col("__sign") == F.col("__s")))
 
     def make():
-        digests = _Digests()
+        digests = Memory(WORDS)
 
         def work(chunk):
             found = {k: [] for k in ("anchor", "path", "high", "at", "hash", "source")}
             for i, text, own in zip(chunk.column("__id").to_pylist(), texts_of(chunk.column("text")), chunk.column("__paths").to_pylist()):
-                hashed = Hashed(text.split(), digests.trimmed())
+                hashed = Hashed(text.split(), digests)
                 for p in own:
                     at = np.arange(p["windows"])
                     found["hash"].append(hashed.runs(at + p["first"], at + p["first"] + window).view(np.int64))
@@ -232,7 +227,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (c for b in batches for c in chunks(b, "text")):
             texts, lengths = [], []
             column = batch.column("text")
             for old, text, own in zip(column.to_pylist(), texts_of(column), batch.column("__spans").to_pylist()):

@@ -14,13 +14,13 @@ import os
 
 import numpy as np
 
-from riskloom.llm.common import worker_cache
+from riskloom.llm.common import Memory, worker_cache
 
 WORD_MODEL = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
-# Units remembered in a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+# Units remembered in each of a memory's two generations.
+REMEMBERED = 200_000
 # Longer units are encoded each time.
 LONGEST = 64
 
@@ -43,8 +43,7 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(model_path(model))
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
         # Words of these characters fold and split alike here and in the tokenizer; others are encoded whole.
         self.plain = regex.compile(r"[\x21-\x7e\xa1-įı-ſ]+")
         # Fixed value: the pattern by which the vocabulary splits words.
@@ -62,13 +61,10 @@ class WordIds:
                 split[w] = self.split.findall(s.lower())
             else:
                 whole.append(w)
-        new = list({p for ps in split.values() for p in ps if p not in self.parts})
-        found = dict(zip(new, self._encode(new)))
-        if len(self.parts) + len(found) > REMEMBERED:
-            known = {p: self.parts[p] for ps in split.values() for p in ps if p in self.parts}
-            self.parts = known
-        self.parts.update(found)
-        got = {w: b"".join([self.parts[p] for p in ps]) for w, ps in split.items()}
+        new = self.parts.missing({p for ps in split.values() for p in ps})
+        parts = self.parts.young
+        parts.update(zip(new, self._encode(new)))
+        got = {w: b"".join([parts[p] for p in ps]) for w, ps in split.items()}
         got.update(zip(whole, self._encode([w.decode() for w in whole])))
         return got
 
@@ -79,15 +75,10 @@ class WordIds:
     def by_word(self, texts: list[bytes]) -> list[list[bytes]]:
         """The ids of each word, between ASCII white space, of each text."""
         split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
-        if not new:
-            known = self.words
-        else:
-            got = self._learn(list(new))
-            if len(self.words) + len(got) > REMEMBERED:
-                self.words = {w: self.words[w] for ws in split for w in ws if w in self.words}
-            known = self.words
-            known.update(got)
+        new = self.words.missing({w for ws in split for w in ws})
+        known = self.words.young
+        if new:
+            known.update(self._learn(new))
         out = [[known[w] for w in ws] for ws in split]
         for w in new:
             if len(w) > LONGEST:
@@ -105,7 +96,7 @@ class PieceCounts:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         marked = self.model.encode("a b", out_type=str)
         self.by_unit = marked[0].startswith("▁") and "".join(marked) == "▁a▁b" and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, int] = {}
+        self.known = Memory(REMEMBERED)
 
     def units(self, text: str) -> list[str]:
         """The text cut before each run of spaces; one unit for a vocabulary whose merges cross spaces."""
@@ -134,17 +125,15 @@ class PieceCounts:
     def counts(self, texts: list[str]) -> list[list[int]]:
         """Tokens of each unit of each text."""
         cut = [self.units(t) for t in texts]
-        new = list({u for us in cut for u in us if u not in self.known})
+        new = self.known.missing({u for us in cut for u in us})
+        known = self.known.young
         if new:
             # A text's trailing spaces: the model's own leading mark stands for one of them.
-            got = {u: n if u.strip(" ") or not self.by_unit else m for u, n, m in zip(new, self._count(new), self._trailing(new))}
-            if len(self.known) + len(got) > REMEMBERED:
-                self.known = {u: self.known[u] for us in cut for u in us if u in self.known}
-            self.known.update(got)
-        out = [[self.known[u] for u in us] for us in cut]
+            known.update((u, n if u.strip(" ") or not self.by_unit else m) for u, n, m in zip(new, self._count(new), self._trailing(new)))
+        out = [[known[u] for u in us] for us in cut]
         for u in new:
             if len(u) > LONGEST:
-                del self.known[u]
+                del known[u]
         return out
 
     def _trailing(self, units: list[str]) -> list[int]:
