@@ -76,3 +76,13 @@ def fixed(c: Column, places: int, signed: bool = False) -> Column:
     """Decimal text of a number, rounded from its exact binary value."""
     text = F.regexp_replace(F.format_number(c, places), ",", "")
     return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text)) if signed else text
+
+
+def plain_number(col: str) -> Column:
+    """Shortest decimal text of a double, without an exponent from 0.0001 up to 10**16."""
+    value = F.col(col).cast("double")
+    text = value.cast("string")
+    size = F.abs(value)
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    written = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when((size >= 1e-4) & (size < 1e16), written).otherwise(text)

@@ -13,7 +13,7 @@ BROADCAST_ROWS = 10_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a local one only when the session has none and is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")

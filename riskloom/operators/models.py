@@ -146,19 +146,23 @@ class KnnModel:
         self.features, self.label, self.row_id, self.k = list(features), label, row_id, k
 
     def predict(self, df: DataFrame, query_id: str | None = None) -> DataFrame:
-        """`query_id` must name each row of `df`; the training row id by default."""
-        query_id = query_id or self.row_id
-        scores = knn_score(self.train, df, self.features, self.label, self.row_id, query_id, self.k)
+        """A score depends on the features alone: each different vector is asked once, whatever ids the rows have."""
+        asked = df.withColumn("_vector", F.sha2(F.to_json(F.struct(*self.features)), 256))
+        vectors = asked.select("_vector", *self.features).dropDuplicates(["_vector"])
+        scores = knn_score(self.train, vectors, self.features, self.label, self.row_id, "_vector", self.k)
         # Metrics and curves read the scores again; the neighbour join runs once.
-        return df.join(cut_lineage(scores), query_id)
+        return asked.join(cut_lineage(scores), "_vector").drop("_vector")
 
 
 def _fit_rbf(train, features, label, n, params, seed, folds=3):
     gamma = params.get("gamma")
     if gamma is None:
         # 1 / (number of features * variance over all entries of the feature table).
-        every = F.array(*features)
-        spread = train.select(F.explode(every).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"]
+        # Columns without gaps: the mean of their variances and the variance of their means.
+        each = train.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("v", F.var_pop), ("m", F.avg))]).first()
+        means = [each[f"m{i}"] or 0.0 for i in range(len(features))]
+        middle = sum(means) / len(means)
+        spread = sum((each[f"v{i}"] or 0.0) + (means[i] - middle) ** 2 for i in range(len(features))) / len(means)
         gamma = 1.0 / (len(features) * (spread or 1.0))
     waves = params.get("waves", 128)
     lifted = reuse(

@@ -27,6 +27,7 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 def dataset_card(df: DataFrame, label: str) -> DataFrame:
     """Rows, features, and the whole per cent of each class (the positive one cut, not rounded)."""
     require_columns(df, label)
+    df = nan_to_null(df, [label])
     share = F.avg(F.col(label).cast("double")) * 100
     return df.agg(F.count("*").alias("n_rows"), share.cast("int").alias("positive_pct")).select(
         "n_rows",
@@ -193,9 +194,12 @@ def histogram_all(
         .agg(F.count("*").alias("count"))
     )
     # At most `bins` entries per (feature, class): bins without rows are read from this small map as 0.
-    full = placed.groupBy("feature", by).agg(
+    filled = placed.groupBy("feature", by).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_counts")
     )
+    # Every class of the table meets every feature that has values, also where the class has none.
+    classes = df.where(F.col(by).isNotNull()).select(by).distinct()
+    full = classes.select(by, F.explode(F.array(*map(F.lit, number)).cast("array<string>")).alias("feature")).join(filled, ["feature", by], "left")
     bin_ = F.col("bin")
     return full.select(
         "feature", by, "_counts", F.explode(F.sequence(F.lit(0), lookup(feature, number) - 1)).alias("bin")
@@ -205,7 +209,7 @@ def histogram_all(
         "bin",
         (lookup(feature, low) + bin_ * lookup(feature, width)).alias("lo"),
         (lookup(feature, low) + (bin_ + 1) * lookup(feature, width)).alias("hi"),
-        F.coalesce(F.try_element_at("_counts", bin_), F.lit(0)).alias("count"),
+        F.coalesce(F.try_element_at("_counts", bin_), F.lit(0).cast("long")).alias("count"),
     )
 
 

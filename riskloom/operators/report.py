@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import METRIC_NAMES
-from riskloom.functions.columns import fixed, lookup, title_case
+from riskloom.functions.columns import fixed, lookup, plain_number, title_case
 
 
 def _stamp(as_of: str | None) -> Column:
@@ -42,7 +42,7 @@ def report_rows(
     ]
     for c in features:
         shown = lookup(F.lit(c), names, title_case(F.lit(c)))
-        items.append(("input", shown, F.col(c).cast("double").cast("string")))
+        items.append(("input", shown, plain_number(c)))
     if metrics is not None:
         row = metrics.first()
         for c, shown in METRIC_NAMES.items():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.functions.columns import nan_to_null
 from riskloom.operators import profile
 from riskloom.operators.clean import Cleaned, clean, validate_domain
 from riskloom.operators.codes import count_by, feature_dictionary, numeric_columns, rename_display
@@ -25,9 +26,13 @@ ROW_ID = "row_id"
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A key made from the whole row: the same on every run, and unique once copies are removed."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns]
-    return df.withColumn(ROW_ID, F.md5(F.concat_ws("|", *parts)))
+    """Distinct rows with a key made from the whole row, the same on every run.
+
+    NaN is a gap and -0.0 is 0.0 before rows are compared and keyed.
+    """
+    plain = nan_to_null(df)
+    plain = plain.withColumns({c: F.col(c) + F.lit(0.0).cast(t) for c, t in plain.dtypes if t in ("double", "float")})
+    return plain.dropDuplicates().withColumn(ROW_ID, F.sha2(F.to_json(F.struct(*plain.columns)), 256))
 
 
 def explore(df: DataFrame, label: str = config.LABEL) -> dict[str, DataFrame]:

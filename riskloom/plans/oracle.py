@@ -41,7 +41,7 @@ counts AS (
 ),
 grid AS (
   SELECT feature, target, CAST(b AS INTEGER) AS bin
-  FROM (SELECT DISTINCT feature, target FROM long), range({bins}) AS t(b)
+  FROM (SELECT DISTINCT feature FROM long), (SELECT DISTINCT target FROM binary_cohort WHERE target IS NOT NULL), range({bins}) AS t(b)
 )
 SELECT feature, target, bin, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi,
        coalesce(n, 0) AS count
