@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 from math import factorial
 
@@ -179,13 +180,35 @@ def explain_tree(df: DataFrame, row_id: str, fitted: Fitted, top: int | None = N
     return _long(rows, row_id, features, phis, F.lit(base), space, top)
 
 
+def _neighbours(df: DataFrame, features: Sequence[str], centres: list[list[float]]) -> DataFrame:
+    """(feature, centroid, below, above): the values next to each coordinate, in one pass over the rows."""
+
+    def of_batch(batches):
+        at = np.array(centres)
+        for rows in batches:
+            for j, c in enumerate(features):
+                v = np.sort(rows[c].dropna().to_numpy(dtype=float))
+                if len(v):
+                    low, high = np.searchsorted(v, at[:, j], "right") - 1, np.searchsorted(v, at[:, j], "left")
+                    yield pd.DataFrame({
+                        "feature": j, "centroid": range(len(at)),
+                        "below": np.where(low >= 0, v[np.maximum(low, 0)], -np.inf),
+                        "above": np.where(high < len(v), v[np.minimum(high, len(v) - 1)], np.inf),
+                    })
+
+    found = df.select(*[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(
+        of_batch, "feature int, centroid int, below double, above double"
+    )
+    return found.groupBy("feature", "centroid").agg(F.max("below").alias("below"), F.min("above").alias("above"))
+
+
 def background_summary(
     df: DataFrame, features: Sequence[str], k: int = 50, seed: int = 42, round_values: bool = True
 ) -> DataFrame:
     """(centroid, weight, features...): k-means centres weighted by cluster size.
 
     With `round_values` each coordinate moves to the nearest value that occurs in that column; the
-    two neighbours of each coordinate come from one pass without a shuffle of rows.
+    neighbours of all coordinates come from one pass without a shuffle of rows.
     """
     n = df.limit(k).count()
     if not n:
@@ -194,14 +217,9 @@ def background_summary(
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     sizes = model.summary.clusterSizes
     if round_values:
-        for j, c in enumerate(features):
-            near = df.agg(
-                *[F.max(F.when(F.col(c) <= x[j], F.col(c))).alias(f"a{i}") for i, x in enumerate(centres)],
-                *[F.min(F.when(F.col(c) >= x[j], F.col(c))).alias(f"b{i}") for i, x in enumerate(centres)],
-            ).first()
-            for i, x in enumerate(centres):
-                options = [v for v in (near[f"a{i}"], near[f"b{i}"]) if v is not None]
-                x[j] = float(min(options, key=lambda v: abs(v - x[j])))
+        for r in _neighbours(df, features, centres).collect():
+            x, j = centres[r["centroid"]], r["feature"]
+            x[j] = min((v for v in (r["below"], r["above"]) if v is not None), key=lambda v: abs(v - x[j]))
     total = float(sum(sizes))
     rows = [(i, s / total, *c) for i, (s, c) in enumerate(zip(sizes, centres)) if s]
     columns = ", ".join(f"`{c}` double" for c in features)
@@ -230,7 +248,8 @@ def explain_sampled(
     """Attribution of any model by random feature orders (Strumbelj and Kononenko, 2014).
 
     Each row is scored along `n_perm` orders in which its features replace those of a background row
-    one by one. `score_fn` adds `probability` to a table whose rows `_walk` names. A step's gain is written as two signed
+    one by one. All rows walk the same orders from the same background rows, which lie evenly over the weights, so they
+    share one base value: the mean score of those background rows. `score_fn` adds `probability` to a table whose rows `_walk` names. A step's gain is written as two signed
     entries, so neighbours need no window, and the sums are combined before their only shuffle.
     """
     features = list(features)
@@ -238,26 +257,24 @@ def explain_sampled(
     points = background.limit(BROADCAST_ROWS + 1).collect()
     if len(points) > BROADCAST_ROWS:
         raise ValueError("summarise the background first; see background_summary")
-    total, upto, bag = sum(p["weight"] for p in points), 0.0, []
-    for p in points:
-        upto += p["weight"] / total
-        bag.append(F.struct(F.lit(upto).alias("upto"), F.array(*[F.lit(float(p[c])) for c in features]).alias("x")))
-    d = len(features)
-    spin = F.xxhash64(F.lit(seed), F.col(row_id), F.col("_perm"))
-    draw = F.pmod(spin, F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)
-    chosen = F.filter("_bag", lambda s: s["upto"] > draw)
-    # Rounding may leave the last running weight a hair below 1.
-    picked = F.coalesce(F.try_element_at(chosen, F.lit(1)), F.element_at("_bag", -1))
-    turns = F.array_sort(
-        F.array(*[F.struct(F.xxhash64(spin, F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(d)])
-    )
+    points.sort(key=lambda p: [float(p[c]) for c in features])
+    d, rng = len(features), np.random.default_rng(seed)
+    upto = np.cumsum([p["weight"] for p in points])
+    # Rounding may leave the last running weight a hair below the total.
+    at = np.minimum(np.searchsorted(upto, (np.arange(n_perm) + 0.5) / n_perm * upto[-1], "right"), len(points) - 1)
+    plan = [
+        F.struct(
+            F.array(*[F.lit(float(points[i][c])) for c in features]).alias("x"),
+            F.array(*[F.lit(int(j)) for j in rng.permutation(d)]).alias("turns"),
+        )
+        for i in at
+    ]
     walks = (
         df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
-        .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-        .withColumn("_bag", F.array(*bag))
-        .withColumn("_other", picked["x"])
-        .withColumn("_turns", F.transform(turns, lambda s: s["j"]))
-        .drop("_bag")
+        .select("*", F.posexplode(F.array(*plan)).alias("_perm", "_plan"))
+        .withColumn("_other", F.col("_plan.x"))
+        .withColumn("_turns", F.col("_plan.turns"))
+        .drop("_plan")
         .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
         .withColumn("_walk", F.concat_ws("|", F.col(row_id).cast("string"), "_perm", "_step"))
     )
@@ -289,7 +306,7 @@ def explain_sampled(
 def explain(
     df: DataFrame, row_id: str, fitted: Fitted, n_perm: int = 20, seed: int = 42, top: int | None = None
 ) -> DataFrame:
-    """Attribution of scaled rows by the way that suits the model; an unknown one is sampled."""
+    """Attribution of scaled rows by the way that suits the model; one it does not suit, or unknown, is sampled."""
     how = fitted.spec.explains
     if how == "linear":
         inner = fitted.model.model
@@ -298,7 +315,10 @@ def explain(
             df, row_id, fitted.features, inner.coefficients.toArray(), [0.0] * len(fitted.features), inner.intercept, top
         )
     if how == "tree":
-        return explain_tree(df, row_id, fitted, top)
+        try:
+            return explain_tree(df, row_id, fitted, top)
+        except ValueError as e:
+            warnings.warn(f"{fitted.spec.name}: {e}; its scores are attributed by sampling", stacklevel=2)
     summary = summary_of(fitted, seed)
     predict = fitted.model.predict
     if fitted.spec.kind == "knn":

@@ -28,11 +28,17 @@ from riskloom.operators.knn import knn_score
 from riskloom.operators.scale import apply_scaler, fit_scaler
 
 FEATURES = "_features"
+# Split candidates per column of every tree model: no fewer than any code column has values.
+BINS = 256
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A classifier by kind; `explains` names how its scores are attributed to features."""
+    """A classifier by kind; `explains` names how its scores are attributed to features.
+
+    Parameters beside the fixed ones: `bins`, the split candidates of a column in trees, forests and boosting;
+    `fit_rows`, about how many labelled rows a fit may use (by default all), drawn by the hash of the row id.
+    """
 
     name: str
     kind: str
@@ -46,7 +52,7 @@ REGISTRY = [
     ModelSpec("Random Forest", "forest", "tree", {"trees": 200, "depth": 30}),
     ModelSpec("Decision Tree", "tree", "tree", {"depth": 8}),
     ModelSpec("K-Nearest Neighbors", "knn", "sampled", {"k": 7}),
-    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 128}),
+    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 128, "max_iter": 100, "tol": 1e-4}),
     ModelSpec("Gradient Boosting", "gbt", "tree", {"rounds": 200, "rate": 0.05, "depth": 6}),
 ]
 ORDER = [m.name for m in REGISTRY]
@@ -154,7 +160,12 @@ class KnnModel:
         return asked.join(cut_lineage(scores), "_vector").drop("_vector")
 
 
-def _fit_rbf(train, features, label, n, params, seed, folds=3):
+def _fit_rbf(train, features, label, row_id, n, params, seed, folds=3):
+    """Margin classifier, and a curve on the margins of rows that a classifier has not seen.
+
+    Folds follow from the row id, so that equal vectors fall into all of them. Where leaving out a fold leaves one class only,
+    the curve is fitted on the margins of the whole fit.
+    """
     gamma = params.get("gamma")
     if gamma is None:
         # 1 / (number of features * variance over all entries of the feature table).
@@ -167,22 +178,25 @@ def _fit_rbf(train, features, label, n, params, seed, folds=3):
     waves = params.get("waves", 128)
     lifted = reuse(
         with_waves(train, features, gamma, waves, seed)
-        .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)).cast("int"))
+        .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(folds)).cast("int"))
         .select(label, FEATURES, "_fold")
     )
 
     def fit(rows, size):
         return LinearSVC(
             featuresCol=FEATURES, labelCol=label, regParam=1.0 / (params.get("C", 1.0) * max(size, 1)),
-            standardization=False, maxIter=params.get("max_iter", 50),
+            standardization=False, maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-4),
         ).fit(rows)
 
     # The curve is fitted on margins of rows the classifier has not seen. The fits do not depend on
     # each other, so their many small jobs run side by side.
-    sets = [(lifted, n)] + [(lifted.where(F.col("_fold") != f), n * (folds - 1) / folds) for f in range(folds)]
+    sizes = {(r["_fold"], r[label]): r["n"] for r in lifted.groupBy("_fold", label).agg(F.count("*").alias("n")).collect()}
+    rest = [sum(k for (g, _), k in sizes.items() if g != f) for f in range(folds)]
+    whole = any(len({y for (g, y) in sizes if g != f}) < 2 for f in range(folds))
+    sets = [(lifted, n)] + [(lifted.where(F.col("_fold") != f), rest[f]) for f in range(folds) if not whole]
     with ThreadPool(len(sets)) as pool:
         svc, *held = pool.map(inheritable_thread_target(train.sparkSession)(lambda s: fit(*s)), sets)
-    out_of_fold = None
+    out_of_fold = margin(svc, lifted).select(label, "_margin") if whole else None
     for f, m in enumerate(held):
         part = margin(m, lifted.where(F.col("_fold") == f)).select(label, "_margin")
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
@@ -190,7 +204,11 @@ def _fit_rbf(train, features, label, n, params, seed, folds=3):
         out_of_fold.withColumn("_m", array_to_vector(F.array("_margin")))
     )
     lifted.unpersist()
-    return RbfModel(svc, curve, features, gamma, waves, seed)
+    model = RbfModel(svc, curve, features, gamma, waves, seed)
+    limit = params.get("max_iter", 100)
+    if svc.summary().totalIterations >= limit:
+        model.note = f"stopped after {limit} iterations, before its tolerance"
+    return model
 
 
 def make_classifier(kind: str, label: str, n_train: int, params: dict, seed: int):
@@ -208,14 +226,14 @@ def make_classifier(kind: str, label: str, n_train: int, params: dict, seed: int
     if kind == "forest":
         return RandomForestClassifier(
             **common, numTrees=params["trees"], maxDepth=params["depth"], featureSubsetStrategy="sqrt", seed=seed,
-            maxMemoryInMB=params.get("memory", 256),
+            maxMemoryInMB=params.get("memory", 1024), maxBins=params.get("bins", BINS),
         )
     if kind == "tree":
-        return DecisionTreeClassifier(**common, maxDepth=params["depth"], maxBins=params.get("bins", 256), seed=seed)
+        return DecisionTreeClassifier(**common, maxDepth=params["depth"], maxBins=params.get("bins", BINS), seed=seed)
     if kind == "gbt":
         return GBTClassifier(
             **common, maxIter=params["rounds"], stepSize=params["rate"], maxDepth=params["depth"],
-            lossType="logistic", seed=seed,
+            lossType="logistic", maxBins=params.get("bins", BINS), seed=seed,
         )
     raise ValueError(f"no Spark estimator for {kind}")
 
@@ -230,9 +248,16 @@ def fit_model(
     if spec.kind == "knn":
         return KnnModel(train, features, label, row_id, spec.params["k"])
     if spec.kind == "rbf_svc":
-        return _fit_rbf(train, features, label, n, spec.params, seed)
-    estimator = make_classifier(spec.kind, label, n, spec.params, seed)
-    return SparkModel(estimator.fit(assembled(train, features).select(label, FEATURES)), features)
+        return _fit_rbf(train, features, label, row_id, n, spec.params, seed)
+    bound = spec.params.get("fit_rows")
+    if bound is not None and bound < n:
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_003)) < F.lit(int(1_000_003 * bound / n))
+        train = reuse(train.where(drawn).coalesce(1 + bound // 50_000))
+    estimator = make_classifier(spec.kind, label, n if bound is None else min(n, bound), spec.params, seed)
+    fitted = SparkModel(estimator.fit(assembled(train, features).select(label, FEATURES)), features)
+    if bound is not None and bound < n:
+        train.unpersist()
+    return fitted
 
 
 @dataclass
@@ -276,7 +301,7 @@ def train_all(
     """Scale, fit every model, and predict the held-out rows.
 
     A model that fails is left out and named in `status`; if all fail, that is an error. The scaled
-    tables are kept for the passes of the fits.
+    rows are kept for the passes of the fits; each model's predictions are written once, for every metric.
     """
     spark = train.sparkSession
     scaler = fit_scaler(train, features)
@@ -289,13 +314,10 @@ def train_all(
     for spec in models:
         try:
             model = fit_model(spec, scaled_train, features, label, row_id, seed, n)
-            parts.append(
-                model.predict(scaled_test).select(
-                    F.lit(spec.name).alias("model"), row_id, label, "prediction", "probability"
-                )
-            )
+            scores = model.predict(scaled_test)
+            parts.append(cut_lineage(scores.select(F.lit(spec.name).alias("model"), row_id, label, "prediction", "probability")))
             fitted[spec.name] = Fitted(spec, model, params, list(features), scaled_train)
-            status.append((spec.name, "ok", ""))
+            status.append((spec.name, "ok", getattr(model, "note", "")))
         except Exception as e:
             status.append((spec.name, "failed", str(e)))
     if not parts:

@@ -271,8 +271,8 @@ def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int
     """Gaussian kernel density per class on an even grid over the column's range: (by, x, density).
 
     Every row counts. Kernel sums are combined before their shuffle, which carries one row per
-    (class, grid point). Where values repeat often, equal ones are first merged to one weighted row. A
-    class whose values are all the same has no bandwidth and no curve.
+    class. Where values repeat often, equal ones are first merged to one weighted row. A class whose
+    values are all the same has no bandwidth: its density is NULL.
     """
     require_columns(df, col, by)
     rows = nan_to_null(df.select(by, F.col(col).cast("double").alias("v"))).where(
@@ -286,7 +286,7 @@ def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int
     if ends["lo"] is None or grid_points < 2:
         return df.sparkSession.createDataFrame([], schema)
     step = (ends["hi"] - ends["lo"]) / (grid_points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(grid_points - 1)), lambda i: F.lit(ends["lo"]) + i * F.lit(step))
+    grid = [ends["lo"] + i * step for i in range(grid_points)]
     q = exact_percentiles(rows, ["v"], [0.25, 0.75], [by], limit).select(
         by, (F.col("q")[1] - F.col("q")[0]).alias("iqr")
     )
@@ -294,22 +294,20 @@ def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int
     iqr = F.col("iqr") / 1.349
     # A class whose middle half is one value has IQR 0; the sd alone then sets the bandwidth.
     width = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
-    bands = broadcast_if_small(
-        spread.join(q, by)
-        .select(by, "n", (F.lit(1.059) * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
-        .where("h > 0")
-    )
-    z = (F.col("x") - F.col("v")) / F.col("h")
+    h = F.lit(1.059) * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    bands = broadcast_if_small(spread.join(q, by).select(by, "n", F.when(h > 0, h).alias("h")))
+    z = lambda x: (F.lit(x) - F.col("v")) / F.col("h")
     if ends["values"] * 10 < ends["n"]:
         weighted = rows.groupBy(by, "v").agg(F.count("*").alias("w"))
     else:
         weighted = rows.withColumn("w", F.lit(1))
-    return (
-        weighted.join(bands, by)
-        .select(by, "v", "w", "n", "h", F.explode(grid).alias("x"))
-        .groupBy(by, "x", "n", "h")
-        .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("total"))
-        .select(by, "x", (F.col("total") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
+    # One sum per grid point: the rows are not multiplied.
+    totals = weighted.join(bands, by).groupBy(by, "n", "h").agg(
+        *[F.sum(F.col("w") * F.exp(-0.5 * z(x) * z(x))).alias(f"t{i}") for i, x in enumerate(grid)]
+    )
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.col(f"t{i}").alias("total")) for i, x in enumerate(grid)])
+    return totals.select(by, "n", "h", F.inline(points)).select(
+        by, "x", (F.col("total") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")
     )
 
 

@@ -15,6 +15,7 @@ from riskloom.operators import clean as cl
 from riskloom.operators import codes, evaluate, explain, profile
 from riskloom.operators.knn import knn_score
 from riskloom.operators.models import (
+    REGISTRY,
     Fitted,
     LinearScore,
     ModelSpec,
@@ -384,19 +385,18 @@ def best_model(spark, sf_dir):
 # Models
 
 
-# The ensembles of the registry take hundreds of passes; these queries grow smaller ones over the
-# same whole table.
-SMALLER = {"forest": {"trees": 20, "depth": 8}, "gbt": {"rounds": 10, "depth": 4}}
+# The ensembles of the registry take hundreds of passes; their fits use about this many labelled rows.
+FIT_ROWS = {"forest": 2_000, "gbt": 2_000}
 
 
-def quick_spec(kind: str) -> ModelSpec:
+def bounded_spec(kind: str) -> ModelSpec:
     spec = spec_of(kind)
-    return replace(spec, params=spec.params | SMALLER.get(kind, {}))
+    return replace(spec, params=spec.params | ({"fit_rows": FIT_ROWS[kind]} if kind in FIT_ROWS else {}))
 
 
 def held_out(kind: str) -> Query:
     def run(spark, sf_dir):
-        done, _ = trained(spark, sf_dir, [quick_spec(kind)])
+        done, _ = trained(spark, sf_dir, [bounded_spec(kind)])
         return done.predictions
 
     return run
@@ -411,8 +411,8 @@ for _name, _kind in (
 
 @query
 def train_compare(spark, sf_dir):
-    """Leaderboard of two quick models trained side by side."""
-    done, _ = trained(spark, sf_dir, [spec_of("logistic"), spec_of("tree")])
+    """Leaderboard of every model of the registry."""
+    done, _ = trained(spark, sf_dir, [bounded_spec(m.kind) for m in REGISTRY])
     return evaluate.leaderboard(done.metrics(LABEL), done.order)
 
 
@@ -545,7 +545,7 @@ def explain_sampled(spark, sf_dir):
 
 @query
 def explain_boosted(spark, sf_dir):
-    done, test = trained(spark, sf_dir, [quick_spec("gbt")])
+    done, test = trained(spark, sf_dir, [bounded_spec("gbt")])
     fitted = done.fitted["Gradient Boosting"]
     return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
 
