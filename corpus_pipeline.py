@@ -14,7 +14,7 @@ from riskloom.llm import packing, quality_rules, simhash, substring_dedup
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trusted target is those labelled good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.keep(docs, quality_rules.fit_ratio(docs, quality_rules.trusted(labels)))
+    return quality_rules.keep(docs, *quality_rules.fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Quality rules: counts per document, and a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
+The cut between clean text and junk is fitted: every labelled text gets a ratio from the target texts of other folds,
+as an unlabelled text would, and the cut is where trusted and untrusted ones part best. A language that is rarer in the
+target than in the corpus only moves its trusted texts nearer to the cut, not beyond it.
+
 Null texts count as empty. A document without an n-gram has ratio 0. Without any target n-gram every ratio is 0, so
 that the base rules alone decide. Repeated rows are judged one by one and alike; other columns pass untouched.
 """
@@ -17,8 +21,11 @@ GRAM = 4
 BUCKETS = 1 << 16
 # Pseudo-count of the raw distribution inside the target's.
 PRIOR = 10_000.0
-# A document is kept when its mean log ratio per n-gram is at least this.
+# A document is kept when its mean log ratio per n-gram is at least this; for callers that have no fitted cut.
 THRESHOLD = -0.25
+# Folds of the target texts, and bins of the ratio in which labelled texts are counted.
+FOLDS = 5
+BINS = 100
 # Target ids that are broadcast; more are joined by shuffle.
 TARGET_ROWS = 2_000_000
 
@@ -46,34 +53,47 @@ def _own_grams(buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return buckets[np.cumsum(inside[:-1]) > 0]
 
 
+def _marked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """(text, mark, fold) of the rows; equal texts are of one fold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = rows.join(checked_broadcast(ids, TARGET_ROWS), "doc_id", how)
+    return joined.select("text", F.coalesce("mark", F.lit(False)).alias("mark"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
 def gram_counts(docs: DataFrame, target: DataFrame | None) -> DataFrame:
-    """(bucket, raw, target): n-grams of all texts and of the target's, summed inside tasks before the shuffle."""
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(bucket, part, n): n-grams of all texts (part -1) and of each fold of the target's, summed inside tasks before the shuffle."""
     if target is None:
-        flagged = flagged.withColumn("__t", F.lit(False))
+        flagged = docs.select("text", F.lit(False).alias("mark"), F.lit(0).alias("fold"))
     else:
-        ids = checked_broadcast(target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("__t")).distinct(), TARGET_ROWS)
-        flagged = flagged.join(ids, "doc_id", "left").withColumn("__t", F.coalesce("__t", F.lit(False)))
+        flagged = _marked(docs, target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("mark")).distinct(), "left")
 
     def make():
         def work(chunk):
-            texts, flags = texts_of(chunk.column("text")), chunk.column("__t").to_pylist()
-            raw = np.bincount(_own_grams(*_grams(texts)), minlength=BUCKETS)
-            own = np.bincount(_own_grams(*_grams([t for t, f in zip(texts, flags) if f])), minlength=BUCKETS)
-            seen = np.flatnonzero(raw)
-            return {"bucket": seen, "raw": raw[seen], "target": own[seen]}
+            texts = texts_of(chunk.column("text"))
+            folds = [f if m else -1 for m, f in zip(chunk.column("mark").to_pylist(), chunk.column("fold").to_pylist())]
+            counted = [(-1, np.bincount(_own_grams(*_grams(texts)), minlength=BUCKETS))]
+            for k in sorted(set(folds) - {-1}):
+                counted.append((k, np.bincount(_own_grams(*_grams([t for t, f in zip(texts, folds) if f == k])), minlength=BUCKETS)))
+            seen = [np.flatnonzero(n) for _, n in counted]
+            return {
+                "bucket": np.concatenate(seen), "part": np.repeat([k for k, _ in counted], [len(x) for x in seen]),
+                "n": np.concatenate([n[x] for (_, n), x in zip(counted, seen)]),
+            }
 
         return work
 
-    counts = map_chunks(flagged, "text", "bucket int, raw long, target long", make)
-    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return map_chunks(flagged, "text", "bucket int, part int, n long", make).groupBy("bucket", "part").agg(F.sum("n").alias("n"))
 
 
-def fit_ratio(docs: DataFrame, target: DataFrame | None) -> np.ndarray:
-    """Log ratio of target to raw per bucket: BUCKETS numbers, whatever the size of the corpus."""
-    raw, own = np.zeros(BUCKETS), np.zeros(BUCKETS)
+def _counted(docs: DataFrame, target: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per bucket of all texts, and of each fold of the target's: whatever the size of the corpus."""
+    raw, own = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
     for r in gram_counts(docs, target).collect():
-        raw[r["bucket"]], own[r["bucket"]] = r["raw"], r["target"]
+        (raw if r["part"] < 0 else own[r["part"]])[r["bucket"]] = r["n"]
+    return raw, own
+
+
+def _log_ratio(raw: np.ndarray, own: np.ndarray) -> np.ndarray:
     if not own.sum():
         return np.zeros(BUCKETS, dtype=np.float32)
     p = (raw + 1.0 / BUCKETS) / (raw.sum() + 1.0)
@@ -81,6 +101,68 @@ def fit_ratio(docs: DataFrame, target: DataFrame | None) -> np.ndarray:
     return np.log(q / p).astype(np.float32)
 
 
+def fit_ratio(docs: DataFrame, target: DataFrame | None) -> np.ndarray:
+    """Log ratio of target to raw per bucket."""
+    raw, own = _counted(docs, target)
+    return _log_ratio(raw, own.sum(axis=0))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Log ratio per bucket, and the cut that parts trusted from untrusted labelled texts by ratios from other folds."""
+    target = trusted(labels)
+    raw, own = _counted(docs, target)
+    ratio = _log_ratio(raw, own.sum(axis=0))
+    if not own.sum():
+        return ratio, 0.0
+    sent = docs.sparkSession.sparkContext.broadcast([_log_ratio(raw, own.sum(axis=0) - x) for x in own])
+
+    def make():
+        tables = [t.astype(np.float64) for t in sent.value]
+
+        def work(chunk):
+            texts, good = texts_of(chunk.column("text")), np.array(chunk.column("mark").to_pylist(), dtype=bool)
+            folds = np.array(chunk.column("fold").to_pylist(), dtype=np.int64)
+            passed = np.array([not _fails(t.split()) for t in texts], dtype=bool)
+            bins = np.zeros(len(texts), dtype=np.int64)
+            for k in range(FOLDS):
+                mine = np.flatnonzero(folds == k)
+                for a in range(0, len(mine), 256):
+                    at = mine[a : a + 256]
+                    bins[at] = np.floor(mean_ratio([texts[i] for i in at], tables[k]) * BINS)
+            pairs, n = np.unique(np.stack([bins, good])[:, passed], axis=1, return_counts=True)
+            return {"bin": pairs[0], "good": pairs[1].astype(bool), "n": n}
+
+        return work
+
+    known = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = known.join(target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("mark")), "doc_id", "left")
+    counts = map_chunks(_marked(docs, known, "inner"), "text", "bin int, good boolean, n long", make).groupBy("bin", "good").agg(F.sum("n").alias("n"))
+    return ratio, best_cut({(r["bin"], r["good"]): r["n"] for r in counts.collect()})
+
+
+def best_cut(counts: dict[tuple[int, bool], int]) -> float:
+    """Where the share of trusted rows below and that of untrusted rows above are least together, in the middle of the widest such place.
+
+    Without untrusted rows the cut is below the lowest trusted one; without trusted rows nothing is cut.
+    """
+    if not any(good for _, good in counts):
+        return -np.inf
+    if all(good for _, good in counts):
+        return min(b for b, _ in counts) / BINS
+    low = min(b for b, _ in counts)
+    table = np.zeros((2, max(b for b, _ in counts) - low + 2))
+    for (b, good), n in counts.items():
+        table[int(good), b - low + 1] = n
+    # Entry i is the cut below bin low + i.
+    bad, good = np.cumsum(table, axis=1) / table.sum(axis=1, keepdims=True)
+    loss = good + 1 - bad
+    least = np.append(loss <= loss.min() + 1e-12, False)
+    ends = np.flatnonzero(least[:-1] & ~least[1:])
+    begins = np.flatnonzero(least & ~np.append(False, least[:-1]))
+    k = int((ends - begins).argmax())
+    return (low + (begins[k] + ends[k]) / 2) / BINS
+
+
 def _repeat_words(words: list[bytes]) -> int:
     """Words inside 5-word windows that occur twice or more."""
     n = len(words)
@@ -107,6 +189,11 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _fails(words: list[bytes]) -> bool:
+    """The base rules."""
+    return len(words) < 10 or 100 * _repeat_words(words) > 20 * len(words)
+
+
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
     words = text.split()
@@ -168,8 +255,7 @@ def keep(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> Da
             for a in range(0, len(texts), 256):
                 part = texts[a : a + 256]
                 for text, mean in zip(part, mean_ratio(part, values)):
-                    words = text.split()
-                    kept.append(len(words) >= 10 and mean >= threshold and 100 * _repeat_words(words) <= 20 * len(words))
+                    kept.append(mean >= threshold and not _fails(text.split()))
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality_rules.judge(docs, quality_rules.fit_ratio(docs, quality_rules.trusted(_table(spark, sf_dir, "labels"))))
+    return quality_rules.judge(docs, *quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
