@@ -96,7 +96,13 @@ class PieceCounts:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         marked = self.model.encode("a b", out_type=str)
         self.by_unit = marked[0].startswith("▁") and "".join(marked) == "▁a▁b" and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known = Memory(REMEMBERED)
+        self.known, self.prefixes = Memory(REMEMBERED), Memory(REMEMBERED // 4)
+        # Pieces that a merge can make, by their text; a character without one is spelt in bytes.
+        n = self.model.get_piece_size()
+        plain = [i for i in range(n) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i))]
+        self.pieces = {self.model.id_to_piece(i) for i in plain}
+        self.longest = max((len(p) for p in self.pieces), default=1)
+        self.joints: dict[tuple[str, str], bool] = {}
 
     def units(self, text: str) -> list[str]:
         """The text cut before each run of spaces; one unit for a vocabulary whose merges cross spaces."""
@@ -136,6 +142,48 @@ class PieceCounts:
                 del known[u]
         return out
 
+    def prefix_counts(self, unit: str) -> np.ndarray:
+        """Tokens of ``unit[:1]``, ``unit[:2]`` and so on, each as the library counts it."""
+        if len(unit) > LONGEST:
+            return self._prefix_table(unit)
+        missing = self.prefixes.missing({unit})
+        if missing:
+            self.prefixes.young[unit] = np.array(self._count([unit[: k + 1] for k in range(len(unit))]), dtype=np.int64)
+        return self.prefixes.young[unit]
+
+    def _prefix_table(self, unit: str) -> np.ndarray:
+        """Dynamic programming over prefixes: a prefix is a shorter one and its last piece.
+
+        Merges by rank make a sequence of pieces exactly when they make every two neighbours of it, and of the pieces
+        that end a prefix only one stands so behind the last piece of what is before it.
+        """
+        text = "▁" + unit.replace(" ", "▁")
+        counts, last = np.zeros(len(text) + 1, dtype=np.int64), [""] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for size in range(min(self.longest, end), 0, -1):
+                piece = text[end - size : end]
+                if piece in self.pieces:
+                    if self._joint(last[end - size], piece):
+                        counts[end], last[end] = counts[end - size] + 1, piece
+                        break
+                elif size == 1:
+                    # Its bytes meet no other character.
+                    counts[end], last[end] = counts[end - 1] + len(piece.encode()), ""
+        if counts[-1] != len(self.model.encode(unit)):
+            # Not a vocabulary of ranked merges, or one that changes characters: the library counts every prefix.
+            return np.array(self._count([unit[: k + 1] for k in range(len(unit))]), dtype=np.int64)
+        return counts[2:]
+
+    def _joint(self, left: str, right: str) -> bool:
+        """Whether the library leaves the two pieces as they are behind each other; behind nothing, the one."""
+        key = (left, right)
+        if key not in self.joints:
+            if len(self.joints) > 4 * REMEMBERED:
+                self.joints.clear()
+            # A line break is bytes, which keep the model's own leading mark away.
+            self.joints[key] = self.model.encode("\n" + left + right, out_type=str)[2:] == [p for p in key if p]
+        return self.joints[key]
+
     def _trailing(self, units: list[str]) -> list[int]:
         return [0 if u.strip(" ") else (1 if u == " " else len(self.model.encode(u[1:]))) for u in units]
 
