@@ -2,8 +2,10 @@
 
 Subtrees of elements are hashed with the page's host and counted in Spark; one that stands on many different pages of
 a host is its template and is deleted. What a single page's structure names as no article (menus, footers, adverts,
-forms, scripts, readers' comments) is deleted as well, since hosts of few pages have no recurring subtrees. Prose
-inside the article is never counted, so that copied articles keep their paragraphs.
+forms, scripts, readers' comments) is deleted as well, since hosts of few pages have no recurring subtrees. Inside the
+article a name alone deletes only containers of a class that can mean nothing else; ids there are often made from
+titles and delete nothing. Prose inside the article is counted only in containers of a class with a word that names no
+article, so that copied articles keep their paragraphs.
 
 The text is that of the article elements, else of the main element, else of what remains of the page. A null or empty
 page has an empty text. A page without a host has no templates. Repeated rows are one page in the counts, and each
@@ -51,9 +53,17 @@ NO_ARTICLE_NAMES = frozenset(
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription widget widgets".split()
 )
 
+# Whole classes that name no article even inside one, and elements that are never deleted there by class.
+NO_TEXT_CLASSES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsbygoogle adsense ad-slot ad-container ad-wrapper ad-unit ad-banner banner-ad comments comment-list comments-area "
+    "commentlist comment-form disqus disqus_thread share-bar sharebar share-buttons sharing-buttons social-share social-sharing sharedaddy "
+    "newsletter-signup newsletter-form cookie-notice cookie-banner cookie-consent".split()
+)
+TEXT_TAGS = PROSE | {"hgroup", "header", "article", "main", "body", "html"}
+
 _OFF = NO_ARTICLE_NAMES | {":" + r for r in NO_ARTICLE_ROLES}
 _HEADERS = frozenset({"header", "masthead"})
-_NO_NAMES: tuple[frozenset[str], bool] = (frozenset(), False)
+_NO_NAMES: tuple[frozenset[str], bool, frozenset[str]] = (frozenset(), False, frozenset())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -69,15 +79,17 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool]:
-    """Words of class and id, role marked by a colon; whether the element is hidden."""
+def _names(attributes: str) -> tuple[frozenset[str], bool, frozenset[str]]:
+    """Words of class and id, role marked by a colon; whether the element is hidden; its whole classes."""
     if not _MARKS.search(attributes):
         return _NO_NAMES
-    words, hidden = set(), False
+    words, hidden, classes = set(), False, set()
     for m in _NAMED.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             words.update(re.split(r"[^a-z0-9]+", value))
+            if key == "class":
+                classes.update(value.split())
         elif key == "role":
             words.update(":" + v for v in value.split())
         elif key == "hidden":
@@ -86,7 +98,7 @@ def _names(attributes: str) -> tuple[frozenset[str], bool]:
             hidden |= value == "true"
         elif re.search(r"display\s*:\s*none", value):
             hidden = True
-    return frozenset(words), hidden
+    return frozenset(words), hidden, frozenset(classes)
 
 
 class Page:
@@ -176,9 +188,15 @@ class Page:
         """Which elements are articles, hold one, lie in one, and which the structure deletes."""
         n = len(self.tags)
         named = [_names(a) if a else _NO_NAMES for a in self.attributes]
-        off = [h or not w.isdisjoint(_OFF) for w, h in named]
-        articles = [i for i in range(n) if self.tags[i] == "article" and not off[i]]
-        mains = [i for i in range(n) if (self.tags[i] == "main" or ":main" in named[i][0]) and not off[i]]
+        off = [h or not w.isdisjoint(_OFF) for w, h, _ in named]
+        # Inside an article, and for the article itself, words of slugs say nothing.
+        strict = [
+            h or any(x[0] == ":" and x in _OFF for x in w if x) or self.tags[i] not in TEXT_TAGS and not c.isdisjoint(NO_TEXT_CLASSES)
+            for i, (w, h, c) in enumerate(named)
+        ]
+        other = [h or s or not c.isdisjoint(NO_ARTICLE_NAMES) or any(x.startswith("comment-") for x in c) for (_, h, c), s in zip(named, strict)]
+        articles = [i for i in range(n) if self.tags[i] == "article" and not other[i]]
+        mains = [i for i in range(n) if (self.tags[i] == "main" or ":main" in named[i][0]) and not other[i]]
         self.holds = [False] * n
         self.roots = set(articles or mains)
         for i in self.roots:
@@ -192,20 +210,22 @@ class Page:
             self.inside[i] = i in self.roots or within
             if self.holds[i]:
                 continue
-            tag, (words, _) = self.tags[i], named[i]
+            tag, words = self.tags[i], named[i][0]
             if p >= 0 and self.gone[p] or tag in NO_ARTICLE or tag in RAW:
                 self.gone[i] = True
             elif tag not in ("html", "body"):
-                self.gone[i] = off[i] or not within and (tag == "header" or not words.isdisjoint(_HEADERS))
+                self.gone[i] = strict[i] if within else off[i] or tag == "header" or not words.isdisjoint(_HEADERS)
+        # Named containers, which recurrence on the host deletes inside an article too.
+        self.named = [self.tags[i] not in TEXT_TAGS and any(not _OFF.isdisjoint(x.split("-")) for x in c) for i, (_, _, c) in enumerate(named)]
         for i in range(n - 1, -1, -1):
             if self.prose[i] and self.parents[i] >= 0:
                 self.prose[self.parents[i]] = True
 
     def candidates(self) -> list[int]:
-        """Elements that may be a template: blocks that hold no article and, inside an article, no prose."""
+        """Elements that may be a template: blocks that hold no article and, inside an article, no prose or a name."""
         return [
             i for i, t in enumerate(self.tags)
-            if t in BLOCK and t not in ("html", "head", "body") and not self.holds[i] and not (self.inside[i] and self.prose[i])
+            if t in BLOCK and t not in ("html", "head", "body") and not self.holds[i] and not (self.inside[i] and self.prose[i] and not self.named[i])
             and not (t == "li" and self.parents[i] >= 0)
         ]
 
