@@ -67,8 +67,10 @@ _NO_NAMES: tuple[frozenset[str], bool, frozenset[str]] = (frozenset(), False, fr
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"""|<([a-zA-Z][^\s/<>]*)([^'"<>]*+(?:(?:"[^"]{0,4096}"|'[^']{0,4096}')[^'"<>]*+)*+)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S,
+    r"|<([a-zA-Z][^\s/<>]*)", re.S,
 )
+_PLAIN = re.compile(r"""[^'"<>]*+""")
+_UNQUOTED = re.compile(r"[^<>]*+")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _MARKS = re.compile(r"class|id|role|hidden|style", re.I)
 _HOST = re.compile(r"\A\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -101,6 +103,37 @@ def _names(attributes: str) -> tuple[frozenset[str], bool, frozenset[str]]:
     return frozenset(words), hidden, frozenset(classes)
 
 
+class Attributes:
+    """Ends of tags, in time linear in the page: a quote that once led to no tag end is not followed again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.dead: set[int] = set()
+        # By quote, where none is from here on.
+        self.none: dict[str, int] = {}
+
+    def end(self, at: int) -> int:
+        """Where the ``>`` of a tag stands whose attributes begin here; -1 if it is no tag."""
+        html, begin, passed = self.html, at, []
+        while True:
+            at = _PLAIN.match(html, at).end()
+            sign = html[at : at + 1]
+            if sign == ">":
+                return at
+            if sign not in ("'", '"') or at in self.dead:
+                break
+            passed.append(at)
+            closing = -1 if at + 1 >= self.none.get(sign, len(html)) else html.find(sign, at + 1)
+            if closing < 0:
+                self.none[sign] = min(self.none.get(sign, len(html)), at + 1)
+                break
+            at = closing + 1
+        self.dead.update(passed)
+        # Quotes that are not closed are signs like any other.
+        at = _UNQUOTED.match(html, begin).end()
+        return at if html[at : at + 1] == ">" else -1
+
+
 class Page:
     """Elements of a page in page order: tag, parent, begin, end, attributes; and its texts with their elements."""
 
@@ -120,6 +153,9 @@ class Page:
         size = len(html)
         # Open elements by tag, so that a tag that is not open costs no walk.
         opened: Counter[str] = Counter()
+        attributes = Attributes(html)
+        # Text since the last tag begins here.
+        text = 0
 
         def close(depth: int, end: int) -> None:
             while len(stack) > depth:
@@ -144,9 +180,13 @@ class Page:
             m = _TAG.search(html, at)
             if not m:
                 break
-            if m.start() > at:
-                self.texts.append((stack[-1] if stack else -1, html[at : m.start()]))
-            at = m.end()
+            end = m.end() - 1
+            if m[2] and (end := attributes.end(m.end())) < 0:
+                at = m.end()
+                continue
+            if m.start() > text:
+                self.texts.append((stack[-1] if stack else -1, html[text : m.start()]))
+            at = text = end + 1
             if m[1]:
                 tag = m[1].lower()
                 depth = last({tag}, () if tag in ("body", "html", "article", "main", "div", "section") else {"article", "main", "body"} - {tag})
@@ -155,10 +195,9 @@ class Page:
                 elif tag in ("p", "br"):
                     self.texts.append((stack[-1] if stack else -1, None))
                 continue
-            name = m[2] or m[4]
-            if not name:
+            if not m[2]:
                 continue
-            tag = name.lower()
+            tag = m[2].lower()
             if tag in CLOSES_P and (depth := last({"p"}, {"button", "table", "article", "main", "body"})) is not None:
                 close(depth, m.start())
             elif tag in SIBLINGS and (depth := last(*SIBLINGS[tag])) is not None:
@@ -170,18 +209,18 @@ class Page:
             self.parents.append(stack[-1] if stack else -1)
             self.begins.append(m.start())
             self.ends.append(at)
-            self.attributes.append((m[3] if m[2] else m[5]) or "")
+            self.attributes.append(html[m.end() : end])
             if tag in BLOCK or tag == "br":
                 self.texts.append((i, None))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?![a-zA-Z0-9])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
+                at = text = end.end() if end else size
                 self.ends[i] = at
             elif tag not in VOID:
                 stack.append(i)
                 opened[tag] += 1
-        if at < size:
-            self.texts.append((stack[-1] if stack else -1, html[at:]))
+        if text < size:
+            self.texts.append((stack[-1] if stack else -1, html[text:]))
         close(0, size)
 
     def judge(self) -> None:

@@ -39,3 +39,28 @@ def test_named_prose_inside_articles_goes_when_it_recurs(spark):
     rows = [(i, f"http://a.example/{i}", body.replace("{i}", str(i))) for i in range(6)] + [(9, "http://b.example/", body.replace("{i}", "9"))]
     got = {x["page_id"]: x["text"] for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i} Copied" for i in range(6)) and got[9] == "Story 9 Write to us Copied"
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_attributes_have_no_length_limit(quote):
+    for sign in (" x > y leaked", " x < y leaked", ""):
+        value = "v" * 50_000 + sign
+        page = html_text.Page(f"<article><p>One</p><div data-x={quote}{value}{quote} class=ad>two</div><p>three</p></article>")
+        assert page.tags == ["article", "p", "div", "p"] and value in page.attributes[2]
+        page.judge()
+        assert page.text(set()) == "One three"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [('<p>a <b title="x>c</b> d', "a c d"), ("<p>1 < 2 <i>x</i>", "1 < 2 x"), ("<p>a <b <i>c</i>", "a <b c"), ("<p title='it'>a's <b>b's</b>", "a's b's"), ("a <b", "a <b")],
+)
+def test_broken_tags(html, want):
+    assert _text(html) == want
+
+
+@pytest.mark.parametrize("part", ['<a "<a" ', "<a '", "<a \"<a '", '<a "" ', '<a x="', "<a"])
+def test_broken_tags_take_linear_time(part):
+    begin = time.process_time()
+    html_text.Page(part * (400_000 // len(part)))
+    assert time.process_time() - begin < 10
