@@ -29,7 +29,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage within the edit budget."""
-    return q_grams.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_rows=True)
+    return q_grams.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_rows=True, short=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
