@@ -1,4 +1,4 @@
-"""The ten registered queries of this subpackage, each over its whole table."""
+"""The thirteen registered queries of this subpackage, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import attention_lm, byte_cnn, decontaminate, html_text, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
+from riskloom.llm import (
+    attention_lm, byte_cnn, chunk_recipes, decontaminate, html_text, packing, quality_rules, sharding, simhash, spelling_variants, substring_dedup,
+    token_counts, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,16 +58,40 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 16)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_byte_cnn, op2_substring_dedup, op3_simhash, op4_attention_lm, op5_decontaminate, op6_quality_rules, op7_sharding, op8_token_counts,
-            op9_packing, op10_html_text,
+            op9_packing, op10_html_text, op11_chunk_recipes, op12_whitening, op13_spelling_variants,
         )
     }
 
 
+# Equal texts, sizes and digests of a text are SQL; the chunks that the operator compares are not needed for them.
+OP11_SQL = """
+select doc_id,
+       max(doc_id) over same as keep_id,
+       count(*) over same as group_size,
+       row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
+       sha256(coalesce(text, '')) as text_sha256
+from documents
+window same as (partition by coalesce(text, ''))
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    """None of the ten is expressible in SQL: they need trained weights, XXH64, a tokenizer, alignments or a parser."""
-    return {}
+    """The others need trained weights, XXH64, a tokenizer, alignments, a parser, eigenvectors or CRC-32, which are no SQL."""
+    return {"op11_chunk_recipes": OP11_SQL}

@@ -1,0 +1,109 @@
+"""Whitening against the library's eigenvalues, and its exact sums against Python's integers."""
+
+import math
+
+import numpy as np
+import pytest
+
+from riskloom.llm import whitening as wh
+
+
+def _covariances():
+    r = np.random.default_rng(2)
+    a = r.standard_normal((40, 40))
+    q = np.linalg.qr(a)[0]
+    yield a @ a.T
+    yield np.eye(20)
+    yield q @ np.diag([5.0] * 4 + [3, 3] + [2 + 1e-10, 2] + [1.0] * 32) @ q.T
+    yield np.kron(np.eye(3), a[:8, :8] @ a[:8, :8].T)
+    yield a[:, :5] @ a[:, :5].T
+    yield np.array([[4.0]])
+    yield np.array([[0.0, 1.0], [1.0, 0.0]]) + 2 * np.eye(2)
+
+
+@pytest.mark.parametrize("v", list(_covariances()), ids=range(7))
+def test_leading_pairs(v):
+    v = (v + v.T) / 2
+    e, z = wh.leading(v, 16)
+    want = np.linalg.eigvalsh(v)[::-1]
+    want = want[want > len(v) * 2.3e-16 * np.abs(v).sum(axis=1).max()][:16]
+    assert len(e) == len(want) and np.abs(e - want).max() <= 1e-11 * want[0]
+    assert np.abs(z.T @ z - np.eye(len(e))).max() < 1e-9 and np.abs(v @ z - z * e).max() <= 1e-10 * want[0]
+
+
+def test_inertia_counts_signs():
+    r = np.random.default_rng(8)
+    for d in (1, 2, 3, 10, 33):
+        for _ in range(10):
+            a = r.standard_normal((d, d))
+            a = a + a.T
+            if d > 2:
+                a[np.diag_indices(d)] = 0.0
+            w = np.linalg.eigvalsh(a)
+            assert wh.above(a, 0.3) == (w > 0.3).sum()
+    assert wh.inertia(np.zeros((3, 3))) == (0, 3)
+    assert wh.inertia(np.array([[0.0, 1.0], [1.0, 0.0]])) == (1, 0)
+
+
+def test_sums_of_products_are_exact():
+    r = np.random.default_rng(4)
+    for size in (60, 1 << 20, 1 << 30, 1 << 45):
+        y = r.integers(-size, size, (100, 5))
+        y[0] = [size, -size, size, 0, -1]
+        whole = y.astype(object).T @ y.astype(object)
+        assert wh._products(y) == [whole[i, j] for i, j in zip(*np.triu_indices(5))]
+
+
+def _brute(rows, most):
+    sound = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in sound])
+    fit = np.array(sorted({tuple(r) for r in x.tolist()}))
+    n, s = len(fit), fit.sum(axis=0)
+    y = fit - s / n
+    v = y.T @ y / n
+    e, z = np.linalg.eigh(v)
+    e, z = e[::-1][:most], z[:, ::-1][:, :most]
+    z = z * np.where(np.take_along_axis(z, np.abs(z).argmax(axis=0)[None], 0)[0] > 0, 1, -1)
+    return {
+        (i, k + 1): (n, sum((n * int(a) - int(b)) ** 2 for a, b in zip(row, s)), (row - s / n) @ z[:, k] / math.sqrt(e[k]), e[k] / np.trace(v))
+        for (i, _), row in zip(sound, x) for k in range(len(e))
+    }
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as x", "2 as n", "'k' as k", "0 as component")
+
+
+def test_whitening_against_brute_force(spark):
+    r = np.random.default_rng(7)
+    a = r.standard_normal((8, 8))
+    vectors = (r.standard_normal((300, 8)) @ a).astype(np.float32).tolist()
+    vectors += [vectors[0]] * 200 + [vectors[1]] * 3
+    rows = list(enumerate(vectors)) + [(9001, None), (9002, [float("nan")] + [0.0] * 7), (9003, [None] + [0.0] * 7), (9004, [float("inf")] * 8), (9005, []), (9006, [1.0])]
+    want = _brute([t for t in rows if t[0] < 9000], 16)
+    got = wh.whiten(_frame(spark, rows).repartition(7), 16).collect()
+    assert len(got) == len(want) == 503 * 8
+    for g in got:
+        n, deviation, whitened, explained = want[g["vec_id"], g["component"]]
+        assert (g["n"], g["deviation"]) == (n, deviation)
+        assert g["whitened"] == pytest.approx(whitened, abs=1e-9) and g["explained"] == pytest.approx(explained, rel=1e-10)
+        assert g["identity_error"] < 1e-10
+    assert len({g["identity_error"] for g in got}) == 1
+    # The result does not depend on the partitioning.
+    again = {(g["vec_id"], g["component"]): g["whitened"] for g in wh.whiten(_frame(spark, rows).repartition(2), 16).collect()}
+    assert all(again[g["vec_id"], g["component"]] == g["whitened"] for g in got)
+
+
+def test_rows_without_components(spark):
+    assert wh.whiten(_frame(spark, [])).collect() == []
+    assert wh.whiten(_frame(spark, [(1, None)])).collect() == []
+    assert wh.whiten(_frame(spark, [(1, [0.5, 1.0]), (2, [0.5, 1.0])])).collect() == []
+    # One dimension varies: one component, and a null id keeps its row.
+    got = wh.whiten(_frame(spark, [(1, [0.0, 1.0]), (None, [1.0, 1.0])])).collect()
+    assert sorted((str(g["vec_id"]), g["component"], round(g["whitened"], 9)) for g in got) == [("1", 1, -1.0), ("None", 1, 1.0)]
+
+
+def test_huge_entries(spark):
+    got = wh.whiten(_frame(spark, [(1, [1e30, 0.0]), (2, [-1e30, 1.0]), (3, [0.0, 3.0])])).collect()
+    assert {g["deviation"] for g in got if g["vec_id"] == 1} == {None} and {g["component"] for g in got} <= {1, 2}
+    assert all(math.isfinite(g["whitened"]) for g in got)
