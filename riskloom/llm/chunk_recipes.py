@@ -1,11 +1,12 @@
 """Exact dedup by chunk recipes.
 
 A text is cut into chunks where its own bytes say so: a 32-byte rolling hash that falls below a threshold ends a chunk,
-so equal stretches are cut alike wherever they stand. Chunks are deduplicated in Spark with their bytes, once each, and
-numbered by a hash; the store is then asked whether any number names two different byte strings. If one does, all
-numbers are made again with twice the bits, so that the identifiers in use are verified, not assumed. A document is
-from then on its recipe, the ordered list of its chunks' identifiers, and equal texts are equal lists. Long texts move
-as chunks through one shuffle; what is grouped and joined afterwards are lists.
+so equal stretches are cut alike wherever they stand. Chunks are numbered by a hash, and a document becomes its recipe,
+the ordered list of its chunks' numbers. Recipes that differ prove that texts differ. Where recipes agree their chunks
+are deduplicated in Spark with their bytes, and that store is asked whether any number names two different byte
+strings. If one does, all numbers are made again with twice the bits, so that the identifiers in use are verified, not
+assumed, and equal texts are equal lists. Long texts do not move: what is grouped and joined are lists, and of the bytes
+only chunks of texts that have a copy, once each.
 
 Groups are joined back over salts, so that no task holds a whole group of copies.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.session import cut_lineage
-from riskloom.llm.common import map_chunks
+from riskloom.llm.common import checked_broadcast, map_chunks
 
 LEAST_CHUNK = 256
 LONGEST_CHUNK = 8192
@@ -37,6 +38,8 @@ BLOCK = 1 << 20
 # Rows of one group that meet in one task, and the most salts that spread them.
 ROWS_PER_SALT = 500
 SALTS = 4096
+# Numbers, of 16 bytes, that are broadcast; more are joined by shuffle.
+SENT_NUMBERS = 500_000
 
 
 def _gear() -> np.ndarray:
@@ -111,8 +114,8 @@ def _numbers(bits: int):
     return both
 
 
-def chunk_store(docs: DataFrame, bits: int = 64, text: str = "text") -> DataFrame:
-    """(c1, c2, bytes): every distinct chunk of the corpus with its number."""
+def chunk_store(docs: DataFrame, bits: int = 64, text: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """(c1, c2, bytes): every distinct chunk of the corpus with its number, or those of the numbers in ``among`` (c1, c2)."""
     def make():
         number = _numbers(bits)
 
@@ -128,15 +131,29 @@ def chunk_store(docs: DataFrame, bits: int = 64, text: str = "text") -> DataFram
 
         return work
 
-    return map_chunks(docs.select(F.col(text).cast("string").alias("text")), "text", "c1 long, c2 long, bytes binary", make).distinct()
+    found = map_chunks(docs.select(F.col(text).cast("string").alias("text")), "text", "c1 long, c2 long, bytes binary", make)
+    return (found if among is None else found.join(checked_broadcast(among, SENT_NUMBERS), ["c1", "c2"], "left_semi")).distinct()
 
 
-def verified_bits(docs: DataFrame, bits: int = 64, text: str = "text") -> int:
-    """The bits at which every number names one chunk of this corpus only."""
+def clashes(docs: DataFrame, found: DataFrame, bits: int, text: str = "text") -> bool:
+    """Whether a number in a recipe that several rows of ``found`` have names different chunks."""
+    shared = found.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if bits > 64:
+        pairs = F.transform(F.sequence(F.lit(0), F.size("recipe") - 2, F.lit(2)), lambda i: F.struct(F.get("recipe", i).alias("c1"), F.get("recipe", i + 1).alias("c2")))
+    else:
+        pairs = F.transform("recipe", lambda c: F.struct(c.alias("c1"), F.lit(0).cast("long").alias("c2")))
+    numbers = cut_lineage(shared.filter(F.size("recipe") > 0).select(F.inline(pairs)).distinct())
+    if numbers.isEmpty():
+        return False
+    return not chunk_store(docs, bits, text, numbers).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def verified_recipes(docs: DataFrame, bits: int = 64, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """(doc_id, recipe, text_sha256) with as many bits as it takes until equal recipes mean equal texts."""
     while True:
-        clashes = chunk_store(docs, bits, text).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if bits >= 128 or clashes.isEmpty():
-            return bits
+        found = cut_lineage(recipes(docs, bits, text, row_id))
+        if bits >= 128 or not clashes(docs, found, bits, text):
+            return found
         bits *= 2
 
 
@@ -165,7 +182,7 @@ def recipes(docs: DataFrame, bits: int, text: str = "text", row_id: str = "doc_i
 
 def exact_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row; of equal texts the row with the largest id stays."""
-    found = cut_lineage(recipes(docs, verified_bits(docs, bits, text), text, row_id))
+    found = verified_recipes(docs, bits, text, row_id)
     salts = max(1, min(SALTS, -(-found.count() // ROWS_PER_SALT)))
     # The written rows have fixed places, which tell repeated rows apart.
     rows = found.withColumn("at", F.monotonically_increasing_id()).withColumn("salt", F.pmod("at", F.lit(salts)))

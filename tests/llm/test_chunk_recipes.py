@@ -34,7 +34,7 @@ def _brute(rows):
     return {t: (max(ids), len(ids)) for t, ids in groups.items()}
 
 
-@pytest.mark.parametrize("bits", [64, 4])
+@pytest.mark.parametrize("bits", [64, 4, 128])
 def test_groups_are_those_of_equal_texts(spark, bits):
     rows = _rows()
     want = _brute(rows)
@@ -48,12 +48,16 @@ def test_groups_are_those_of_equal_texts(spark, bits):
         assert g["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_numbers_grow_until_each_names_one_chunk(spark):
-    docs = _docs(spark, _rows())
-    bits = cr.verified_bits(docs, 2)
-    store = cr.chunk_store(docs, bits).collect()
-    assert bits > 2 and len({(r["c1"], r["c2"]) for r in store}) == len(store) == len({bytes(r["bytes"]) for r in store})
-    assert cr.verified_bits(docs) == 64
+def test_numbers_grow_until_equal_recipes_mean_equal_texts(spark):
+    rows = _rows()
+    docs = _docs(spark, rows)
+    store = cr.chunk_store(docs, 64).collect()
+    assert len({(r["c1"], r["c2"]) for r in store}) == len(store) == len({bytes(r["bytes"]) for r in store})
+    # Texts of one short chunk whose numbers must clash at two bits.
+    few = _docs(spark, [(i, f"text {i}") for i in range(40)] + [(40, "text 1")])
+    assert cr.clashes(few, cr.recipes(few, 2), 2) and not cr.clashes(few, cr.recipes(few, 64), 64) and not cr.clashes(few, cr.recipes(few, 128), 128)
+    assert cr.verified_recipes(few, 2).select("recipe").distinct().count() == 40
+    assert cr.chunk_store(few, 64, among=spark.createDataFrame([], "c1 long, c2 long")).collect() == []
 
 
 def test_a_hundred_and_twenty_eight_bits(spark):
