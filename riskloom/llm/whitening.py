@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.session import cut_lineage
 
 COMPONENTS = 16
+# Distinct vectors whose sums one task makes.
+ROWS_PER_TASK = 20_000
 # Fixed values of the integer form.
 SCALE, OFFSET = 64, 1_000_000
 _LARGEST = 1 << 45
@@ -276,6 +278,8 @@ def _cross(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
 def fit(vectors: DataFrame, most: int = COMPONENTS) -> Whitener:
     """The whitening of (vec_id, x) rows, fitted on their distinct x."""
     distinct = cut_lineage(vectors.select("x").distinct())
+    # A task's sums are as many as pairs of dimensions, so a task should have far more rows than that.
+    distinct = distinct.coalesce(max(1, -(-distinct.count() // ROWS_PER_TASK)))
     first = _totals(distinct, _sums, "string")
     n, d = first.get(0, 0), len(first) - 1
     if n == 0:
