@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import nan_to_null, number_or_null, ratio, require_columns
 from riskloom.functions.session import reuse
-from riskloom.operators.quantiles import SORTED_VALUES, exact_medians, modes
+from riskloom.operators.quantiles import BUCKETS, exact_medians, modes
 
 
 def positive(c: Column) -> Column:
@@ -62,7 +62,7 @@ def select_by_missingness(
     return [c for c in present if c not in tested or (share[c] or 0.0) <= threshold]
 
 
-def impute(df: DataFrame, strategies: Mapping[str, str], exact: bool = True, limit: int = SORTED_VALUES) -> DataFrame:
+def impute(df: DataFrame, strategies: Mapping[str, str], exact: bool = True, limit: int = BUCKETS) -> DataFrame:
     """Fill missing values with the column's "mode" or "median"."""
     return fill_with(df, fill_values(df, strategies, exact, limit))
 
@@ -71,7 +71,7 @@ def fill_values(
     df: DataFrame,
     strategies: Mapping[str, str],
     exact: bool = True,
-    limit: int = SORTED_VALUES,
+    limit: int = BUCKETS,
     gaps: Mapping[str, int] | None = None,
 ) -> dict[str, object]:
     """Only columns with a missing value are read again for their median or mode.
@@ -92,7 +92,7 @@ def fill_values(
     if not by_median:
         medians = {}
     elif exact:
-        medians = exact_medians(numbers, by_median, limit, at_most=gaps["n_rows"])
+        medians = exact_medians(numbers, by_median, limit)
     else:
         medians = numbers.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in by_median]).first().asDict()
     found = modes(df, by_mode) | medians
@@ -135,7 +135,7 @@ def clean(
     threshold: float = 0.20,
     carry: Sequence[str] = (),
     drop_missing_target: bool = False,
-    limit: int = SORTED_VALUES,
+    limit: int = BUCKETS,
 ) -> Cleaned:
     """Deduplicate, binarise, choose features, impute, coerce, drop incomplete rows - in this order.
 

@@ -17,7 +17,7 @@ from riskloom.functions.columns import lookup, nan_to_null, ratio, require_colum
 from riskloom.functions.session import broadcast_if_small
 from riskloom.operators.clean import missing_counts
 from riskloom.operators.codes import melt, numeric_columns
-from riskloom.operators.quantiles import SORTED_VALUES, exact_percentiles
+from riskloom.operators.quantiles import BUCKETS, exact_percentiles
 
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def describe(
     cols: Sequence[str] | None = None,
     exact: bool = True,
     places: int = 3,
-    limit: int = SORTED_VALUES,
+    limit: int = BUCKETS,
 ) -> DataFrame:
     """count, mean, sd, minimum, quartiles and maximum per numeric column."""
     cols = list(cols or numeric_columns(df))
@@ -116,15 +116,13 @@ def describe(
     probs = [0.25, 0.5, 0.75]
     names = ("count", "mean", "std", "min", "max")
     measures = (F.count, F.avg, F.stddev_samp, F.min, F.max)
-    # One row; its counts also tell the percentiles how large the columns are.
     wide = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in zip(names, measures)]).first()
     basic = df.sparkSession.createDataFrame(
         [(c, *[wide[f"{n}_{i}"] for n in names]) for i, c in enumerate(cols)],
         "feature string, count bigint, mean double, std double, min double, max double",
     )
     if exact:
-        largest = max(wide[f"count_{i}"] for i in range(len(cols)))
-        quartiles = exact_percentiles(df, cols, probs, limit=limit, at_most=largest)
+        quartiles = exact_percentiles(df, cols, probs, limit=limit)
     else:
         quartiles = rows_of(
             df.agg(*[F.percentile_approx(c, probs).alias(c) for c in cols]),
@@ -231,7 +229,7 @@ def _fences(df: DataFrame, cols: Sequence[str], by: str, limit: int) -> DataFram
     )
 
 
-def box_stats(df: DataFrame, cols: Sequence[str], by: str, limit: int = SORTED_VALUES) -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], by: str, limit: int = BUCKETS) -> DataFrame:
     """Quartiles, whiskers inside 1.5 IQR, mean, population sd and count per class and feature."""
     require_columns(df, by, *cols)
     df = nan_to_null(df.select(by, *cols))
@@ -253,7 +251,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, limit: int = SORTED_V
 
 
 def outliers(
-    df: DataFrame, ids: Sequence[str], cols: Sequence[str], by: str, limit: int = SORTED_VALUES
+    df: DataFrame, ids: Sequence[str], cols: Sequence[str], by: str, limit: int = BUCKETS
 ) -> DataFrame:
     """(ids..., by, feature, value) for every value outside the fences of its class."""
     df = nan_to_null(df.select(*ids, by, *cols))
@@ -267,7 +265,7 @@ def outliers(
     )
 
 
-def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int = SORTED_VALUES) -> DataFrame:
+def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int = BUCKETS) -> DataFrame:
     """Gaussian kernel density per class on an even grid over the column's range: (by, x, density).
 
     Every row counts. Kernel sums are combined before their shuffle, which carries one row per

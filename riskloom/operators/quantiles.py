@@ -3,194 +3,125 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import nan_to_null, rows_of
+from riskloom.functions.columns import nan_to_null
+from riskloom.functions.session import cut_lineage
 
-# A group of at most this many values is sorted in one task; a larger one is narrowed first.
-SORTED_VALUES = 1_000_000
-CELLS_PER_PASS = 32
-# Rank error of a proposal; its digests stay small enough to be merged from very many tasks.
-PROPOSAL_ERROR = 1.0 / 2000
+# Buckets into which a range of values is cut in a round.
+BUCKETS = 8192
+# Ranges, of a few numbers each, that are held at hand and sent to every task; more are joined by shuffle over salts.
+SENT_RANGES = 10_000
+SALTS = 16
 
 
-@dataclass
-class _Target:
-    """One percentile of one (class, column) cell, and the open interval that holds its open ranks.
+def _scale(value: Column) -> Column:
+    """A number in the order of the values: logarithms of both signs, moved apart so that 0 lies between them."""
+    size = F.least(F.log2(F.abs(value)), F.lit(1100.0)) + 1100.0
+    return F.when(value == 0, F.lit(0.0)).when(value < 0, -size).otherwise(size)
 
-    A percentile lies between two neighbouring ranks; `known` has the values of those found so far.
-    """
 
-    value: Column
-    position: float
-    total: int
-    low: float | None = None
-    high: float | None = None
-    upto_low: int = 0
-    below_high: int | None = None
-    margin: float = 4 * PROPOSAL_ERROR
-    known: dict[int, float] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.below_high = self.total
-        self.first = math.floor(self.position)
-        self.second = math.ceil(self.position)
-
-    def open_ranks(self) -> list[int]:
-        return [r for r in (self.first, self.second) if r not in self.known]
-
-    def open_count(self) -> int:
-        return self.below_high - self.upto_low
-
-    def inside(self) -> Column:
-        keep = F.lit(True)
-        if self.low is not None:
-            keep = keep & (self.value > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (self.value < F.lit(self.high))
-        return F.when(keep, self.value)
-
-    def settle(self) -> None:
-        """A rank within the run of an end has that end's value."""
-        for r in self.open_ranks():
-            if r < self.upto_low:
-                self.known[r] = self.low
-            elif r >= self.below_high:
-                self.known[r] = self.high
-
-    def answer(self) -> float:
-        share = self.position - self.first
-        a, b = self.known[self.first], self.known[self.second]
-        return a if self.first == self.second else a * (1 - share) + b * share
-
-
-def _batches(items: list, size: int):
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
-def _narrow(df: DataFrame, targets: list[_Target], limit: int) -> None:
-    """Two passes per round, no shuffle of rows: propose an interval, then count around it.
-
-    The open interval keeps well under a hundredth of its rows in each round; a value that is
-    repeated often becomes an end of the interval and leaves it at once.
-    """
-    wide = [t for t in targets if t.open_ranks() and t.open_count() > limit]
-    for batch in _batches(wide, CELLS_PER_PASS):
-        shares = []
-        for t in batch:
-            n, ranks = t.open_count(), [r - t.upto_low for r in t.open_ranks()]
-            shares.append((max(0.0, min(ranks) / n - t.margin), min(1.0, max(ranks) / n + t.margin)))
-        probs = sorted({p for pair in shares for p in pair})
-        names = [f"t{i}" for i in range(len(batch))]
-        open_values = df.select(*[t.inside().alias(c) for t, c in zip(batch, names)])
-        # Digests are merged in a tree, not all in one task.
-        found = open_values.stat.approxQuantile(names, probs, PROPOSAL_ERROR)
-        ends = [(q[probs.index(lo)], q[probs.index(hi)]) for q, (lo, hi) in zip(found, shares)]
-        counts = []
-        for i, t in enumerate(batch):
-            low, high = ends[i]
-            counts += [
-                F.count_if(t.value < low).alias(f"lt_low{i}"),
-                F.count_if(t.value <= low).alias(f"le_low{i}"),
-                F.count_if(t.value < high).alias(f"lt_high{i}"),
-                F.count_if(t.value <= high).alias(f"le_high{i}"),
-            ]
-        got = df.agg(*counts).first()
-        for i, t in enumerate(batch):
-            low, high = ends[i]
-            below_ok = got[f"lt_low{i}"] <= min(t.open_ranks())
-            above_ok = got[f"le_high{i}"] > max(t.open_ranks())
-            if below_ok:
-                t.low, t.upto_low = low, got[f"le_low{i}"]
-            if above_ok:
-                t.high, t.below_high = high, max(got[f"lt_high{i}"], t.upto_low)
-            if not (below_ok and above_ok):
-                t.margin = min(1.0, t.margin * 8)
-            t.settle()
-
-
-def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
-    while any(t.open_ranks() and t.open_count() > limit for t in targets):
-        _narrow(df, targets, limit)
-    for batch in _batches([t for t in targets if t.open_ranks()], CELLS_PER_PASS):
-        # At most `limit` values per list.
-        picks = [
-            F.element_at(F.array_sort(F.collect_list(t.inside())), r - t.upto_low + 1).alias(f"t{i}_{r}")
-            for i, t in enumerate(batch)
-            for r in t.open_ranks()
-        ]
-        got = df.agg(*picks).first()
-        for i, t in enumerate(batch):
-            t.known.update({r: got[f"t{i}_{r}"] for r in t.open_ranks()})
+def _bucket(value: Column, lo: Column, hi: Column, even: Column, first: Column, last: Column, buckets: int) -> Column:
+    """Bucket of a value in lo..hi. Each step keeps the order, and lo and hi have different buckets."""
+    at = F.when(even, (value - lo) / (hi - lo)).otherwise((_scale(value) - first) / (last - first))
+    return F.least(F.floor(at * buckets), F.lit(buckets - 1)).cast("int")
+
+
+def _settled(r: Column) -> Column:
+    """Value of rank r in a range, if its ends tell it: the first and last rank, and any rank where the ends are equal."""
+    lo, hi, below, count = (F.col(c) for c in ("lo", "hi", "below", "count"))
+    return F.when((r == below) | (lo == hi), lo).when(r == below + count - 1, hi)
 
 
 def exact_percentiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int = SORTED_VALUES,
-    at_most: int | None = None,
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), limit: int = BUCKETS
 ) -> DataFrame:
     """Interpolated percentiles per group: columns (by..., feature, q array<double>).
 
-    Groups of at most `limit` values use the built-in exact aggregate. A larger group would not
-    fit one task, so its percentiles are found by counting passes over the table. `at_most` is the
-    number of rows, when the caller knows it.
+    Selection by counting, for all cells (a group's values of one column) at the same time. A round cuts every open
+    range of values into `limit` buckets, counts them with their least and greatest values, and goes on with the buckets
+    in which a wanted rank lies. Any cut that keeps the order gives the exact value; a wide range is cut on a scale of
+    logarithms and one within a factor of two evenly, so that the number of passes depends on the digits of the values,
+    not on rows, groups or columns: codes take one, prices two, any doubles at most six. Counts are combined before
+    their shuffle, so no value and no group loads one task, and what leaves a round is a few numbers per cell.
     """
-    by, probs = list(by), [float(p) for p in probs]
-    df = nan_to_null(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
-    hot = []
-    if at_most is None or at_most > limit:
-        sizes = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols])
-        hot = sizes.where(F.greatest(*[F.col(c) for c in cols], F.lit(0)) > limit).collect()
-    asked = F.array(*[F.lit(p) for p in probs])
-
-    def matches(row) -> Column:
-        same = F.lit(True)
-        for b in by:
-            same = same & F.col(b).eqNullSafe(F.lit(row[b]))
-        return same
-
-    heavy = {c: [r for r in hot if r[c] > limit] for c in cols}
-    plain = df
-    for c in cols:
-        if heavy[c]:
-            is_heavy = F.lit(False)
-            for r in heavy[c]:
-                is_heavy = is_heavy | matches(r)
-            plain = plain.withColumn(c, F.when(~is_heavy, F.col(c)))
-    grouped = plain.groupBy(*by).agg(*[F.percentile(c, asked).alias(c) for c in cols])
-    out = rows_of(
-        grouped, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in cols], by
+    by, cols, probs, buckets = list(by), list(cols), [float(p) for p in probs], max(16, limit)
+    group = F.struct(F.lit(0).alias("_"), *by).alias("_by")
+    values = [f"_v{i}" for i in range(len(cols))]
+    wide = nan_to_null(df.select(group, *[F.col(c).cast("double").alias(v) for c, v in zip(cols, values)]), values)
+    measures = [f(v).alias(name + v) for v in values for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    # A table without rows still has its one group when it is not grouped.
+    ends = wide.groupBy("_by").agg(*measures) if by else wide.agg(*measures).withColumn("_by", F.struct(F.lit(0).alias("_")))
+    each = F.array(*[F.struct(F.lit(i).alias("_c"), *[F.col(name + v).alias(name) for name in ("n", "lo", "hi")]) for i, v in enumerate(values)])
+    cells, _ = _kept(ends.select("_by", F.inline(each)).withColumn("_cell", F.monotonically_increasing_id()))
+
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")) for p in probs])))
+    state = cells.where("n > 0").select("_cell", F.lit(0).cast("long").alias("below"), F.col("n").alias("count"), "lo", "hi", ranks.alias("ranks"))
+    answers = None
+    while True:
+        pairs = F.transform("ranks", lambda r: F.struct(r.alias("rank"), _settled(r).alias("value")))
+        done = state.select("_cell", F.inline(F.filter(pairs, lambda s: s["value"].isNotNull())))
+        answers = done if answers is None else answers.unionByName(done)
+        open_, count = _kept(state.withColumn("ranks", F.filter("ranks", lambda r: _settled(r).isNull())).where(F.size("ranks") > 0))
+        if not count:
+            break
+        state, _ = _kept(_round(wide, values, cells, open_, buckets, count <= SENT_RANGES))
+
+    mapped = answers.groupBy("_cell").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
+    at = lambda r: F.element_at("_at", r.cast("long"))
+
+    def answer(p: float) -> Column:
+        first, last = at(F.floor(place(p))), at(F.ceil(place(p)))
+        share = place(p) - F.floor(place(p))
+        return F.when(share == 0, first).otherwise(first * (1 - share) + last * share)
+
+    named = F.element_at(F.array(*map(F.lit, cols)), F.col("_c") + 1)
+    q = F.when(F.col("n") > 0, F.array(*map(answer, probs)))
+    return cells.join(mapped, "_cell", "left").select(*[F.col("_by")[b].alias(b) for b in by], named.alias("feature"), q.alias("q"))
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table of a few numbers per cell, and its rows: at hand when they are few, else written once."""
+    rows = df.limit(SENT_RANGES + 1).toArrow()
+    if rows.num_rows <= SENT_RANGES:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows
+    written = cut_lineage(df)
+    return written, written.count()
+
+
+def _round(wide: DataFrame, values: Sequence[str], cells: DataFrame, open_: DataFrame, buckets: int, few: bool) -> DataFrame:
+    """The buckets of the open ranges in which ranks lie."""
+    lo, hi = F.col("lo"), F.col("hi")
+    # Ends of the same sign within a factor of two.
+    even = ((lo > 0) & (hi / 2 <= lo)) | ((hi < 0) & (lo / 2 >= hi))
+    ranges = open_.select("_cell", "below", "lo", "hi", even.alias("even"), _scale(lo).alias("first"), _scale(hi).alias("last"))
+    # One row per group, with the open ranges of its columns: a row of the table meets one row and unfolds into them.
+    groups = (
+        cells.select("_cell", "_by", "_c").join(ranges, "_cell").groupBy("_by")
+        .agg(F.collect_list(F.struct("_c", "_cell", "below", "lo", "hi", "even", "first", "last")).alias("_open"))
     )
-    if not hot:
-        return out
-
-    cells, targets = [], []
-    for c in cols:
-        for r in heavy[c]:
-            value = F.when(matches(r), F.col(c))
-            mine = [_Target(value, p * (r[c] - 1), r[c]) for p in probs]
-            cells.append((r, c, mine))
-            targets += mine
-    _solve(df, targets, limit)
-    solved = [(*[r[b] for b in by], c, [t.answer() for t in mine]) for r, c, mine in cells]
-    found = df.sparkSession.createDataFrame(solved, out.schema)
-    keep = F.lit(True)
-    for r, c, _ in cells:
-        keep = keep & ~((F.col("feature") == c) & matches(r))
-    return out.where(keep).unionByName(found)
-
-
-def exact_medians(
-    df: DataFrame, cols: Sequence[str], limit: int = SORTED_VALUES, at_most: int | None = None
-) -> dict[str, float | None]:
-    rows = exact_percentiles(df, cols, [0.5], limit=limit, at_most=at_most).collect()
+    if few:
+        near = wide.join(F.broadcast(groups), "_by")
+    else:
+        spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = wide.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(SALTS)).cast("int")).join(spread, ["_by", "_salt"])
+    long = near.select(F.array(*values).alias("_all"), F.explode("_open").alias("_o"))
+    long = long.select(F.element_at("_all", F.col("_o._c") + 1).alias("_v"), "_o.*").where(F.col("_v").between(lo, hi))
+    bucket = _bucket(F.col("_v"), lo, hi, F.col("even"), F.col("first"), F.col("last"), buckets)
+    counted = long.groupBy("_cell", "below", bucket.alias("bucket")).agg(F.count("*").alias("count"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    along = Window.partitionBy("_cell", "below").orderBy("bucket")
+    counted = counted.withColumn("run", F.sum("count").over(along) - F.col("count"))
+    here = counted.join(open_.select("_cell", "below", "ranks"), ["_cell", "below"]).withColumn("below", F.col("below") + F.col("run"))
+    inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("count")))
+    return here.withColumn("ranks", inside).where(F.size("ranks") > 0).select("_cell", "below", "count", "lo", "hi", "ranks")
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], limit: int = BUCKETS) -> dict[str, float | None]:
+    rows = exact_percentiles(df, cols, [0.5], limit=limit).collect()
     return {r["feature"]: (r["q"][0] if r["q"] else None) for r in rows}
 
 

@@ -73,3 +73,47 @@ def test_running_totals_over_many_buckets(spark):
         assert (got["run_n"] == by.cumsum()).all()
         assert (got["all_n"] == by.transform("sum")).all()
         assert got["next_n"].fillna(-1).tolist() == by.shift(-1).fillna(-1).tolist()
+
+
+def test_all_doubles_nulls_and_null_groups(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([
+        rng.standard_normal(300), 10.0 ** rng.uniform(-300, 300, 300) * rng.choice([-1, 1], 300),
+        [5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 0.0, -0.0, 0.1, 0.1, np.nextafter(0.1, 1)],
+    ])
+    rows = [(None if i % 3 == 0 else "g", float(v)) for i, v in enumerate(x)] + [("g", None), (None, float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.1, 0.5, 0.501, 0.9, 1.0]
+    got = {r["g"]: r["q"] for r in qt.exact_percentiles(df, ["x"], probs, ["g"]).collect()}
+    assert got["empty"] is None and got.keys() == {None, "g", "empty"}
+    for g in (None, "g"):
+        want = np.sort([v for h, v in rows if h == g and v is not None and v == v])
+        for p, q in zip(probs, got[g]):
+            at = p * (len(want) - 1)
+            a, b = want[int(np.floor(at))], want[int(np.ceil(at))]
+            assert q == (a if a == b else a * (1 - (at - np.floor(at))) + b * (at - np.floor(at)))
+    ends = qt.exact_percentiles(spark.createDataFrame([(float(v),) for v in ("-inf", "inf", "1", "2", "1.7976931348623157e308")], "x double"), ["x"], [0.0, 0.25, 0.75, 1.0])
+    assert ends.first()["q"] == [float("-inf"), 1.0, 1.7976931348623157e308, float("inf")]
+
+
+def test_many_groups_take_no_more_jobs(spark):
+    rng = np.random.default_rng(9)
+    sc, jobs = spark.sparkContext, {}
+    for groups in (20, 300):
+        pdf = pd.DataFrame({"g": np.arange(12_000) % groups, "x": rng.gamma(2.0, 300.0, 12_000).round(2)})
+        df = spark.createDataFrame(pdf)
+        sc.setJobGroup(f"cells-{groups}", "percentiles")
+        rows = qt.exact_percentiles(df, ["x"], [0.25, 0.5, 0.75], ["g"]).collect()
+        jobs[groups] = len(sc.statusTracker().getJobIdsForGroup(f"cells-{groups}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        want = pdf.groupby("g")["x"].quantile([0.25, 0.5, 0.75]).unstack().to_numpy()
+        assert np.allclose([r["q"] for r in sorted(rows, key=lambda r: r["g"])], want, rtol=1e-12)
+    assert jobs[300] <= jobs[20] + 2
+
+
+def test_more_ranges_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(qt, "SENT_RANGES", 3)
+    pdf = hot_values(1200, 5)
+    got = qt.exact_percentiles(spark.createDataFrame(pdf), ["x", "y"], [0.25, 0.5], ["g"], limit=40).collect()
+    for r in got:
+        assert np.allclose(r["q"], pdf[pdf.g == r["g"]][r["feature"]].quantile([0.25, 0.5]), rtol=1e-12)
