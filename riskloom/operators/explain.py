@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Callable, Sequence
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import fixed, require_columns
 from riskloom.functions.session import BROADCAST_ROWS, checkpoint_dir
 from riskloom.operators.models import FEATURES, Fitted, assembled
+from riskloom.operators.trees import LEAVES_PER_PART, Tree, with_attributions
 
-LEAVES_PER_CALL = 50_000
+# Leaves of an ensemble that travel with one function.
+LEAVES_PER_CALL = LEAVES_PER_PART
 
 
 def _long(
@@ -69,36 +70,9 @@ def explain_linear(
     return _long(df, row_id, features, phis, base, "log_odds", top)
 
 
-def _paths(nodes: list, value_of: Callable) -> list[tuple]:
-    """(leaf value, features, lower bounds, upper bounds, cover ratios) for each leaf of one tree."""
-    by_id = {n["id"]: n for n in nodes}
-    out, todo = [], [(0, {})]
-    while todo:
-        at, seen = todo.pop()
-        node = by_id[at]
-        if node["leftChild"] < 0:
-            names = list(seen)
-            low, high, share = (np.array([seen[f][i] for f in names], dtype=float) for i in range(3))
-            out.append((value_of(node), np.array(names, dtype=int), low, high, share))
-            continue
-        if node["split"]["numCategories"] != -1:
-            raise ValueError("a split on categories has no interval; index such a column as numbers")
-        f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-        low, high, share = seen.get(f, (-np.inf, np.inf, 1.0))
-        for child, ends in ((node["leftChild"], (low, min(high, cut))), (node["rightChild"], (max(low, cut), high))):
-            ratio = _cover(by_id[child]) / _cover(node)
-            todo.append((child, {**seen, f: (*ends, share * ratio)}))
-    return out
-
-
-def _cover(node) -> float:
-    """Weighted training rows in a node: class counts add up; a regression node holds its count first."""
-    return node["impurityStats"][0] if node["regression"] else sum(node["impurityStats"])
-
-
-def _leaf_table(fitted: Fitted) -> tuple[list[tuple], str]:
-    """Leaf paths of the saved model, with the tree's weight already in the leaf value."""
-    model, kind = fitted.model.model, fitted.spec.kind
+def trees_of(fitted: Fitted) -> tuple[list[Tree], str]:
+    """The trees of a fitted tree model in arrays, their weights already in the leaves, and the space they add up in."""
+    model, boosted = fitted.model.model, fitted.spec.kind == "gbt"
     spark = fitted.scaler.sparkSession
     path = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
     model.write().save(path)
@@ -107,77 +81,42 @@ def _leaf_table(fitted: Fitted) -> tuple[list[tuple], str]:
         data = data.select("treeID", "nodeData.*")
     else:
         data = data.withColumn("treeID", F.lit(0))
-    trees: dict[int, list] = {}
-    for r in data.toLocalIterator():
-        trees.setdefault(r["treeID"], []).append({**r.asDict(recursive=True), "regression": kind == "gbt"})
-    if kind == "gbt":
+    # A regression node holds its count first; class counts add up.
+    stats = F.col("impurityStats")
+    cover = stats[0] if boosted else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    value = F.col("prediction") if boosted else stats[1] / cover
+    rows = data.select(
+        "treeID", "id", "split.featureIndex", "split.numCategories", "split.leftCategoriesOrThreshold",
+        "leftChild", "rightChild", value.alias("value"), cover.alias("cover"),
+    ).orderBy("treeID", "id")
+    nodes: dict[int, list[tuple]] = {}
+    for r in rows.toLocalIterator():
+        leaf = r["leftChild"] < 0
+        if not leaf and r["numCategories"] != -1:
+            raise ValueError("a split on categories has no threshold; index such a column as numbers")
+        cut = (-1, 0.0) if leaf else (r["featureIndex"], r["leftCategoriesOrThreshold"][0])
+        nodes.setdefault(r["treeID"], []).append((*cut, r["leftChild"], r["rightChild"], r["value"], r["cover"]))
+    trees = [Tree.of(nodes[t]) for t in sorted(nodes)]
+    if boosted:
         # Twice the sum of the weighted trees is the log-odds of this loss.
-        weights, space = [2.0 * w for w in model.treeWeights], "log_odds"
-    else:
-        weights, space = [1.0 / len(trees)] * len(trees), "probability"
-
-    def value(weight):
-        if kind == "gbt":
-            return lambda n: weight * n["prediction"]
-        return lambda n: weight * n["impurityStats"][1] / sum(n["impurityStats"])
-
-    leaves = [leaf for t in sorted(trees) for leaf in _paths(trees[t], value(weights[t]))]
-    return leaves, space
+        return [t.times(2.0 * w) for t, w in zip(trees, model.treeWeights)], "log_odds"
+    return [t.times(1.0 / len(trees)) for t in trees], "probability"
 
 
-def _path_weights(hit: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley value of each feature of a path, for rows of 0/1 `hit`, when the leaf is worth 1.
-
-    A feature in the coalition multiplies by its hit, one outside by its cover ratio; the polynomial
-    in t collects the coalitions of each size.
-    """
-    rows, m = hit.shape
-    size_weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    out = np.empty((rows, m))
-    for j in range(m):
-        poly = np.zeros((rows, m))
-        poly[:, 0] = 1.0
-        for i in range(m):
-            if i != j:
-                grown = poly * share[i]
-                grown[:, 1:] += poly[:, :-1] * hit[:, i, None]
-                poly = grown
-        out[:, j] = (hit[:, j] - share[j]) * (poly @ size_weight)
-    return out
-
-
-def _leaf_udf(leaves: list[tuple], d: int):
-    @F.pandas_udf("array<double>")
-    def attribute(xs: pd.Series) -> pd.Series:
-        x = np.stack(xs.to_numpy())
-        phi = np.zeros((len(x), d))
-        for value, names, low, high, share in leaves:
-            if len(names):
-                hit = (x[:, names] > low) & (x[:, names] <= high)
-                kinds, which = np.unique(hit, axis=0, return_inverse=True)
-                phi[:, names] += value * _path_weights(kinds.astype(float), share)[which.ravel()]
-        return pd.Series(list(phi))
-
-    return attribute
+def attribute_trees(
+    df: DataFrame, row_id: str, features: Sequence[str], trees: Sequence[Tree], space: str, top: int | None = None
+) -> DataFrame:
+    """Exact path-dependent attribution of rows by any trees; the base value is their mean by cover."""
+    require_columns(df, row_id, *features)
+    rows = with_attributions(df, [row_id], features, trees, "_phi", LEAVES_PER_CALL)
+    phis = [F.col("_phi")[i] for i in range(len(features))]
+    return _long(rows, row_id, features, phis, F.lit(sum(t.expected() for t in trees)), space, top)
 
 
 def explain_tree(df: DataFrame, row_id: str, fitted: Fitted, top: int | None = None) -> DataFrame:
-    """Path-dependent tree attribution of scaled rows, exact.
-
-    A forest's attribution is the sum over its leaves, so the leaves travel in parts of bounded size
-    and their arrays are added inside the row; rows are never joined with leaves.
-    """
-    features = fitted.features
-    leaves, space = _leaf_table(fitted)
-    base = sum(v * float(np.prod(share)) for v, _, _, _, share in leaves)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    phi = None
-    for start in range(0, len(leaves), LEAVES_PER_CALL):
-        part = _leaf_udf(leaves[start : start + LEAVES_PER_CALL], len(features))(x)
-        phi = part if phi is None else F.zip_with(phi, part, lambda a, b: a + b)
-    rows = df.select(row_id, phi.alias("_phi"))
-    phis = [F.col("_phi")[i] for i in range(len(features))]
-    return _long(rows, row_id, features, phis, F.lit(base), space, top)
+    """Path-dependent attribution of scaled rows by a fitted tree, forest or boosted model."""
+    trees, space = trees_of(fitted)
+    return attribute_trees(df, row_id, fitted.features, trees, space, top)
 
 
 def _neighbours(df: DataFrame, features: Sequence[str], centres: list[list[float]]) -> DataFrame:
@@ -317,7 +256,7 @@ def explain(
     if how == "tree":
         try:
             return explain_tree(df, row_id, fitted, top)
-        except ValueError as e:
+        except Exception as e:
             warnings.warn(f"{fitted.spec.name}: {e}; its scores are attributed by sampling", stacklevel=2)
     summary = summary_of(fitted, seed)
     predict = fitted.model.predict

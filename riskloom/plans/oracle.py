@@ -265,6 +265,30 @@ FROM n WHERE place <= 7 GROUP BY vec_id""",
     }
 
 
+def tree_sql() -> str:
+    """The fixed trees over all coalitions: the first one asks for quantity (q) and discount (d), the second for the tax.
+
+    A feature outside the coalition takes both ways, weighted by cover: 60 and 40 of 100, 10 and 30 of 40; 16, 24 and 40 of 80.
+    """
+    return _with_rows(f"""v AS (
+  SELECT {KEY_SQL} AS row_key, CASE WHEN l_quantity <= 24.5 THEN 1 ELSE 0 END AS q,
+         CASE WHEN l_discount <= 0.05 THEN CAST(0.5 AS DOUBLE) ELSE 0.9 END AS d, CAST(0.25 * 0.5 + 0.75 * 0.9 AS DOUBLE) AS any_d,
+         CASE WHEN l_tax <= 0.025 THEN CAST(-1 AS DOUBLE) WHEN l_tax <= 0.05 THEN 0.5 ELSE 1 END AS tax,
+         CAST((16 * -1.0 + 24 * 0.5 + 40 * 1.0) / 80 AS DOUBLE) AS any_tax
+  FROM lineitem),
+w AS (
+  SELECT *, 0.6 * 0.2 + 0.4 * any_d AS v_none, CASE WHEN q = 1 THEN 0.2 ELSE any_d END AS only_q, 0.6 * 0.2 + 0.4 * d AS only_d,
+         CASE WHEN q = 1 THEN 0.2 ELSE d END AS v_both FROM v)""", [
+        ("l_quantity", "((only_q - v_none) + (v_both - only_d)) / 2"), ("l_discount", "((only_d - v_none) + (v_both - only_q)) / 2"), ("l_tax", "tax - any_tax"),
+    ])
+
+
+def _with_rows(tables: str, phis: list[tuple[str, str]]) -> str:
+    return f"WITH {tables} " + _rows(
+        [f"SELECT row_key, '{c}' AS feature, round({phi}, 6) AS phi, round(v_none + any_tax, 6) AS base_value FROM w" for c, phi in phis]
+    )
+
+
 def _scoring() -> dict[str, str]:
     band = lambda p, a, b: f"CASE WHEN {p} < {a} THEN 'Low' WHEN {p} < {b} THEN 'Moderate' WHEN {p} IS NOT NULL THEN 'High' END"
     messages = "CASE risk " + " ".join(f"WHEN '{k}' THEN {text(v)}" for k, v in config.RISK_MESSAGES.items()) + " END"
@@ -323,6 +347,7 @@ FROM r WHERE rank <= 2"""
         ),
         "explain_linear": f"""WITH {phi} SELECT row_key, feature, round(phi, 6) AS phi,
        round((SELECT CAST(-1.5 AS DOUBLE) + {base}), 6) AS base_value, 'log_odds' AS output_space FROM phi""",
+        "explain_tree_fixed": tree_sql(),
         "top_contributions": top,
         "top_contributions_stored": top,
         "global_importance": f"WITH {phi} SELECT feature, round(avg(abs(phi)), 6) AS importance FROM phi GROUP BY feature",

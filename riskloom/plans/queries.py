@@ -29,6 +29,7 @@ from riskloom.operators.scale import apply_scaler, fit_scaler
 from riskloom.operators.score import confidence as confidence_of
 from riskloom.operators.score import gauge, risk_band as bands, score
 from riskloom.operators.split import stratified_split as split_of
+from riskloom.operators.trees import Tree
 from riskloom.plans.cohort import (
     CODES,
     FEATURES,
@@ -536,6 +537,31 @@ def explain_tree(spark, sf_dir):
     return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
 
 
+# Two small trees as (feature, threshold, left, right, value, cover) rows: one on quantity and discount, and one that
+# asks for the tax twice.
+LINE_TREES = [
+    [(0, 24.5, 1, 2, 0.0, 100), (-1, 0, -1, -1, 0.2, 60), (1, 0.05, 3, 4, 0.0, 40), (-1, 0, -1, -1, 0.5, 10), (-1, 0, -1, -1, 0.9, 30)],
+    [(2, 0.05, 1, 2, 0.0, 80), (2, 0.025, 3, 4, 0.0, 40), (-1, 0, -1, -1, 1.0, 40), (-1, 0, -1, -1, -1.0, 16), (-1, 0, -1, -1, 0.5, 24)],
+]
+
+
+@query
+def explain_tree_fixed(spark, sf_dir):
+    """Attribution of every line item by fixed trees, whose values SQL can work out over all coalitions."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_key", line_key())
+    trees = [Tree.of(nodes) for nodes in LINE_TREES]
+    found = explain.attribute_trees(rows, "row_key", ["l_quantity", "l_discount", "l_tax"], trees, "log_odds")
+    return rounded(found.select("row_key", "feature", "phi", "base_value"))
+
+
+@query
+def explain_forest(spark, sf_dir):
+    """Attribution of all held-out rows by the registry's forest of 200 trees."""
+    done, test = trained(spark, sf_dir, [bounded_spec("forest")])
+    fitted = done.fitted["Random Forest"]
+    return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
+
+
 @query
 def explain_sampled(spark, sf_dir):
     done, test = trained(spark, sf_dir, [spec_of("rbf_svc")])
