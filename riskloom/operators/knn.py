@@ -1,23 +1,26 @@
-"""Exact k nearest neighbours as a blocked join: no pair of rows is ever emitted as a row."""
+"""Exact k nearest neighbours on a partition tree: no pair of rows is ever emitted as a row."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import lookup, require_columns
+from riskloom.functions.columns import require_columns
 from riskloom.functions.session import cut_lineage
 
-# Rows of one side that meet in one task.
-TRAIN_BLOCK = 20_000
-QUERY_BLOCK = 50_000
-MAX_PIVOTS = 1024
-# Rows whose distances to a block, or to all pivots, are held at once.
+# Training rows of a leaf, and queries that meet a leaf in one task.
+TRAIN_BLOCK = 4_096
+QUERY_BLOCK = 4_096
+# Parts into which a node is cut at once.
+FAN = 16
+# Rows of a table of nodes that may be broadcast.
+SENT_NODES = 50_000
+# Queries whose distances to a block are held at once.
 CHUNK = 256
 
 
@@ -29,51 +32,23 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest_cell(pivots: np.ndarray):
-    @F.pandas_udf("cell int, dist double")
-    def nearest(xs: pd.Series) -> pd.DataFrame:
-        x, cells, dists = np.stack(xs.to_numpy()), [], []
-        for start in range(0, len(x), CHUNK):
-            d = _distances(x[start : start + CHUNK], pivots)
-            cells.append(d.argmin(axis=1).astype("int32"))
-            dists.append(np.sqrt(d.min(axis=1)))
-        return pd.DataFrame({"cell": np.concatenate(cells), "dist": np.concatenate(dists)})
-
-    return nearest
-
-
-def _cells_in_reach(pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray, k: int):
-    """Cells that may hold one of the k nearest rows, by the triangle inequality and, between the
-    home pivot and another one, by the half-space that belongs to that pivot."""
-    between = np.sqrt(_distances(pivots, pivots))
-
-    def visits(x: np.ndarray, h: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
-        d = np.sqrt(_distances(x, pivots))
-        # Within d + far of the row lie all rows of that cell: enough cells give an upper bound.
-        outer = np.where(count > 0, d + far, np.inf)
-        order = outer.argsort(axis=1)
-        enough = (np.cumsum(count[order], axis=1) >= k).argmax(axis=1)
-        rows = np.arange(len(h))
-        bound = np.minimum(outer[rows, order[rows, enough]], kth)
-        gap = between[h]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            half = np.where(gap > 0, (d**2 - d[rows, h][:, None] ** 2) / (2 * gap), 0.0)
-        least = np.maximum(np.maximum(d - far, near - d), half)
-        visit = (least <= (bound * (1 + 1e-9) + 1e-12)[:, None]) & (count > 0)
-        visit[rows, h] = False
-        return [np.flatnonzero(v).astype("int32") for v in visit]
-
-    @F.pandas_udf("array<int>")
-    def reach(xs: pd.Series, home: pd.Series, kth: pd.Series) -> pd.Series:
-        x, h = np.stack(xs.to_numpy()), home.to_numpy()
-        kth = np.sqrt(kth.fillna(np.inf).to_numpy(dtype=float))
-        out = []
-        for start in range(0, len(x), CHUNK):
-            part = slice(start, start + CHUNK)
-            out += visits(x[part], h[part], kth[part])
-        return pd.Series(out)
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SENT_NODES + 1).count() <= SENT_NODES else df
+
 
-    return reach
+def _meet(queries: DataFrame, rows: DataFrame, work: Callable, schema: str, block: int) -> DataFrame:
+    """`work` on the queries and the rows of each node. A node's queries, however many, are cut into blocks of about
+    `block`, each of which meets all rows of the node; these are few."""
+    cuts = cut_lineage(queries.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("_cuts")))
+    spark = queries.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(1, min(wanted, cuts.agg(F.sum("_cuts")).first()[0] or 0))
+    sent = _sent(cuts)
+    left = queries.join(sent, "node").withColumn("_t", F.pmod(F.xxhash64("_q"), F.col("_cuts")).cast("int")).drop("_cuts")
+    right = rows.join(sent, "node").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+    # A fixed number of partitions: these tasks are heavy in work, not in bytes.
+    left, right = (side.repartition(n, "node", "_t") for side in (left, right))
+    return left.groupBy("node", "_t").cogroup(right.groupBy("node", "_t")).applyInPandas(work, schema)
 
 
 def _block_top_k(k: int):
@@ -100,35 +75,168 @@ def _block_top_k(k: int):
     return top_k
 
 
-def _candidates(visits: DataFrame, rows: DataFrame, blocks: dict[int, int], k: int, query_block: int) -> DataFrame:
-    """The k best per query and block. Cells are cut on both sides into blocks of bounded size, so a
-    cell that holds a third of the rows is many tasks."""
-    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    id_types = {c: t.dataType.simpleString() for c, t in (("_q", visits.schema["_q"]), ("_s", rows.schema["_s"]))}
-    schema = f"_q {id_types['_q']}, _s {id_types['_s']}, _d double, _y double"
-    if not asked:
-        return visits.sparkSession.createDataFrame([], schema)
-    query_cuts = {c: math.ceil(n / query_block) for c, n in asked.items()}
-    cell = F.col("cell")
-    s_cuts, q_cuts = lookup(cell, blocks), lookup(cell, query_cuts)
-
-    def cut(c: str, n) -> F.Column:
-        return F.pmod(F.xxhash64(c), n.cast("bigint")).cast("int")
-
-    left = visits.withColumn("_t", cut("_q", q_cuts)).withColumn("_b", F.explode(F.sequence(F.lit(0), s_cuts - 1)))
-    right = (
-        rows.where(cell.isin(list(asked)))
-        .withColumn("_b", cut("_s", s_cuts))
-        .withColumn("_t", F.explode(F.sequence(F.lit(0), q_cuts - 1)))
-    )
-    tasks = sum(blocks[c] * query_cuts[c] for c in asked)
-    conf = visits.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    n = max(1, min(tasks, max(int(conf), visits.sparkSession.sparkContext.defaultParallelism)))
-    keys = ["cell", "_b", "_t"]
-    # A fixed number of partitions: these tasks are heavy in work, not in bytes.
-    left = left.select(*keys, "_q", "_x").repartition(n, *keys)
-    right = right.select(*keys, "_s", "_x", "_y").repartition(n, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_top_k(k), schema)
+def _in_reach(k: int):
+    """The children of a node that may hold one of the k nearest rows of a query, and what is known of their distance."""
+
+    def work(queries: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in ("node", "leaf", "_q", "_x", "home", "bound")}
+        if not queries.empty and not children.empty:
+            lo, hi = np.stack(children["lo"].to_numpy()), np.stack(children["hi"].to_numpy())
+            names, leaf, count = children["child"].to_numpy(), children["leaf"].to_numpy(), children["count"].to_numpy()
+            for start in range(0, len(queries), CHUNK):
+                part = queries.iloc[start : start + CHUNK]
+                x = np.stack(part["_x"].to_numpy())
+                least, most = np.zeros((len(x), len(lo))), np.zeros((len(x), len(lo)))
+                for j in range(x.shape[1]):
+                    v = x[:, j, None]
+                    least += np.maximum(np.maximum(lo[:, j] - v, v - hi[:, j]), 0.0) ** 2
+                    most += np.maximum(np.abs(v - lo[:, j]), np.abs(v - hi[:, j])) ** 2
+                # The nearest boxes that hold k rows between them bound the k-th distance from above.
+                order = most.argsort(axis=1)
+                held = np.cumsum(count[order], axis=1) >= k
+                at = np.where(held.any(axis=1), held.argmax(axis=1), 0)
+                outer = np.where(held.any(axis=1), np.take_along_axis(most, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], np.inf)
+                bound = np.minimum(part["bound"].to_numpy(dtype=float), outer)
+                # Rounding of either sum must not hide a row at the bound itself.
+                q, c = np.nonzero(least <= (bound * (1 + 1e-9) + 1e-300)[:, None])
+                out["node"] += names[c].tolist()
+                out["leaf"] += leaf[c].tolist()
+                for name in ("_q", "_x", "home"):
+                    out[name] += part[name].iloc[q].tolist()
+                out["bound"] += bound[q].tolist()
+        return pd.DataFrame(out)
+
+    return work
+
+
+@dataclass
+class NeighbourIndex:
+    """Training rows in the leaves of a partition tree.
+
+    `rows` (node, _s, _y, _x) has every row under its leaf, `nodes` (node, parent, level, leaf, count, lo, hi) the box
+    around the rows of each node, `splits` (node, level, dim, cuts) how a node's rows are dealt to its children. A node
+    is named by the path to it. All three are tables: the tree grows with the rows, and no task or driver holds it.
+    """
+
+    rows: DataFrame
+    nodes: DataFrame
+    splits: DataFrame
+    levels: int
+    total: int
+
+    @classmethod
+    def build(cls, train: DataFrame, x, label: str, train_id: str, k: int, leaf: int = TRAIN_BLOCK) -> NeighbourIndex:
+        """Cuts every node of more than `leaf` rows along its widest side into up to FAN parts of like size."""
+        rows = train.select(F.col(train_id).alias("_s"), F.col(label).cast("double").alias("_y"), x.alias("_x"))
+        total = rows.count()
+        if total < k:
+            raise ValueError(f"{k} neighbours asked of {total} training rows")
+        # Of equal vectors only the k smallest ids can be neighbours. The limit is applied before the
+        # shuffle too, so a vector that a third of the rows share leaves each task as k rows.
+        copy = F.row_number().over(Window.partitionBy("_x").orderBy("_s"))
+        rows = cut_lineage(rows.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy").withColumn("node", F.lit("r")))
+        leaf, d = max(leaf, k), len(rows.select("_x").first()["_x"])
+        share = [i / FAN for i in range(1, FAN)]
+        settled, nodes, splits, level, fresh = None, None, None, 0, rows
+        while True:
+            found = cut_lineage(
+                fresh.groupBy("node").agg(
+                    F.count("*").alias("count"), F.array(*[F.min(F.col("_x")[j]) for j in range(d)]).alias("lo"),
+                    F.array(*[F.max(F.col("_x")[j]) for j in range(d)]).alias("hi"),
+                ).withColumn("leaf", F.col("count") <= leaf)
+            )
+            parent = F.when(F.lit(level > 0), F.substring_index("node", "/", level))
+            named = found.select("node", parent.alias("parent"), F.lit(level).alias("level"), "leaf", "count", "lo", "hi")
+            nodes = named if nodes is None else nodes.unionByName(named)
+            wide = found.where("not leaf")
+            if wide.isEmpty():
+                settled = fresh if settled is None else settled.unionByName(fresh)
+                break
+            done = fresh.join(_sent(found.where("leaf").select("node")), "node", "left_semi")
+            settled = done if settled is None else settled.unionByName(done)
+            sides = F.zip_with("hi", "lo", lambda a, b: a - b)
+            wide = wide.withColumn("dim", (F.array_position(sides, F.array_max(sides)) - 1).cast("int"))
+            # Every part-th quantile, so that a node a little above the limit is halved and not cut into crumbs.
+            parts = F.least(F.lit(FAN), F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / leaf)))).cast("int")
+            wide = _sent(wide.select("node", "dim", parts.alias("parts"), F.get("hi", F.col("dim")).alias("to")))
+            inside = fresh.select("node", "_x").join(wide, "node")
+            side = F.get("_x", F.col("dim"))
+            cuts = inside.groupBy("node", "dim", "parts", "to").agg(
+                F.percentile_approx(side, share, F.lit(1000)).alias("all"), F.max(F.when(side < F.col("to"), side)).alias("below")
+            )
+            chosen = F.array_distinct(F.filter("all", lambda v, i: ((i + 1) % (F.lit(FAN) / F.col("parts")).cast("int") == 0) & (v < F.col("to"))))
+            # Where most rows lie at the upper end, they are cut off from all others.
+            some = F.when(F.size(chosen) > 0, chosen).otherwise(F.array("below"))
+            made = cut_lineage(cuts.select("node", F.lit(level).alias("level"), "dim", some.alias("cuts")))
+            splits = made if splits is None else splits.unionByName(made)
+            # Only rows that have not found their leaf go on, so a level writes no more than those.
+            fresh = cut_lineage(_step(fresh, made, "inner"))
+            level += 1
+        empty = "node string, level int, dim int, cuts array<double>"
+        return cls(settled, nodes, rows.sparkSession.createDataFrame([], empty) if splits is None else splits, level, total)
+
+    def save(self, path: str) -> None:
+        """Rows by leaf, and the tree; the tree is written last."""
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        self.splits.write.mode("overwrite").parquet(f"{path}/splits")
+        self.nodes.withColumn("levels", F.lit(self.levels)).withColumn("total", F.lit(self.total)).write.mode("overwrite").parquet(f"{path}/nodes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighbourIndex:
+        nodes = spark.read.parquet(f"{path}/nodes")
+        top = nodes.select("levels", "total").first()
+        return cls(spark.read.parquet(f"{path}/rows"), nodes.drop("levels", "total"), spark.read.parquet(f"{path}/splits"), top["levels"], top["total"])
+
+    def search(self, queries: DataFrame, x, query_id: str, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+        """(_q, _s, _d, _y): each query's k nearest rows by distance, then by id.
+
+        A query goes down to its own leaf, whose k-th distance bounds the search; from the root it then visits the
+        nodes whose box comes nearer than the bound, level by level, and meets the rows of the leaves it reaches.
+        """
+        if self.total < k:
+            raise ValueError(f"{k} neighbours asked of {self.total} training rows")
+        require_columns(queries, query_id)
+        asked = queries.select(F.col(query_id).alias("_q"), x.alias("_x"), F.lit("r").alias("node"))
+        for level in range(self.levels):
+            asked = _step(asked, self.splits.where(F.col("level") == level))
+        asked = cut_lineage(asked)
+        types = {c: df.schema[c].dataType.simpleString() for df, c in ((asked, "_q"), (self.rows, "_s"))}
+        schema = f"_q {types['_q']}, _s {types['_s']}, _d double, _y double"
+        best = Window.partitionBy("_q").orderBy("_d", "_s")
+        top = lambda df: df.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+        # Down the cuts a query may come to a leaf without rows, as the cuts are those of the rows.
+        first = _meet(asked, self.rows, _block_top_k(k), schema, query_block)
+        if not self.levels:
+            return top(first)
+        first = cut_lineage(first)
+        kth = top(first).where(F.col("_rank") == k).select("_q", F.col("_d").alias("bound"))
+        frontier = asked.join(kth, "_q", "left").select(
+            F.lit("r").alias("node"), "_q", "_x", F.col("node").alias("home"), F.coalesce("bound", F.lit(float("inf"))).alias("bound")
+        )
+        found, step = None, f"node string, leaf boolean, _q {types['_q']}, _x array<double>, home string, bound double"
+        for level in range(1, self.levels + 1):
+            children = self.nodes.where(F.col("level") == level).select(F.col("parent").alias("node"), F.col("node").alias("child"), "leaf", "count", "lo", "hi")
+            reached = cut_lineage(_meet(frontier, children, _in_reach(k), step, query_block))
+            leaves = reached.where("leaf and node <> home").select("node", "_q", "_x")
+            found = leaves if found is None else found.unionByName(leaves)
+            frontier = reached.where("not leaf").drop("leaf")
+        return top(first.unionByName(_meet(found, self.rows, _block_top_k(k), schema, query_block)))
+
+
+def _step(df: DataFrame, splits: DataFrame, how: str = "left") -> DataFrame:
+    """The rows one level further down, where their node is cut: a value up to the first cut goes to part 0. An inner
+    step leaves out the rows of other nodes."""
+    cut = _sent(splits.select(F.col("node").alias("_at"), "dim", "cuts"))
+    part = F.size(F.filter("cuts", lambda c: c < F.get("_x", F.col("dim"))))
+    moved = F.when(F.col("_at").isNotNull(), F.concat_ws("/", "node", part.cast("string"))).otherwise(F.col("node"))
+    return df.join(cut, F.col("node") == F.col("_at"), how).withColumn("node", moved).drop("_at", "dim", "cuts")
+
+
+def vector_of(features: str | Sequence[str]):
+    """The features as one array of doubles: an array column, or several columns."""
+    if isinstance(features, str):
+        return F.transform(features, lambda v: v.cast("double"))
+    return F.array(*[F.col(c).cast("double") for c in features])
 
 
 def nearest_neighbours(
@@ -141,66 +249,25 @@ def nearest_neighbours(
     k: int = 7,
     train_block: int = TRAIN_BLOCK,
     query_block: int = QUERY_BLOCK,
-    pivots: int | None = None,
 ) -> DataFrame:
     """(_q, _s, _d, _y): each query's k nearest training rows by distance, then by training id.
 
-    Training rows are grouped around pivots. A first blocked join inside the query's own cell gives
-    its k-th distance; the second one visits only cells that can hold something nearer. Both ids
-    must be unique. The pivots only steer the work; every row takes part.
+    Both ids must be unique. Every row takes part; the tree only steers the work.
     """
     require_columns(train, label, train_id)
-    require_columns(queries, query_id)
-    x = (
-        F.transform(features, lambda v: v.cast("double"))
-        if isinstance(features, str)
-        else F.array(*[F.col(c).cast("double") for c in features])
-    )
-    rows = train.select(F.col(train_id).alias("_s"), F.col(label).cast("double").alias("_y"), x.alias("_x"))
-    asked = queries.select(F.col(query_id).alias("_q"), x.alias("_x"))
-    total = rows.count()
-    if total < k:
-        raise ValueError(f"{k} neighbours asked of {total} training rows")
-    # Of equal vectors only the k smallest ids can be neighbours. The limit is applied before the
-    # shuffle too, so a vector that a third of the rows share leaves each task as k rows.
-    copy = F.row_number().over(Window.partitionBy("_x").orderBy("_s"))
-    rows = cut_lineage(rows.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy"))
-    n_pivots = pivots or min(MAX_PIVOTS, max(1, math.isqrt(total) // 4))
-    chosen = rows.orderBy(F.xxhash64("_s"), "_s").limit(n_pivots).select("_x").collect()
-    points = np.unique(np.array([r["_x"] for r in chosen], dtype=float), axis=0)
-
-    nearest = _nearest_cell(points)
-    placed = rows.withColumn("_at", nearest("_x")).select("_s", "_y", "_x", "_at.cell", "_at.dist")
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")
-    ).collect()
-    count, near, far = np.zeros(len(points)), np.zeros(len(points)), np.zeros(len(points))
-    for r in stats:
-        count[r["cell"]], near[r["cell"]], far[r["cell"]] = r["n"], r["near"], r["far"]
-    blocks = {r["cell"]: math.ceil(r["n"] / train_block) for r in stats}
-
-    homed = asked.withColumn("_at", nearest("_x")).select("_q", "_x", "_at.cell")
-    # A pivot is a training row, so its own cell is never empty.
-    first = cut_lineage(_candidates(homed, placed, blocks, k, query_block))
-    best = Window.partitionBy("_q").orderBy("_d", "_s")
-    kth = first.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == k).select("_q", "_d")
-    reach = _cells_in_reach(points, count, near, far, k)
-    more = homed.join(kth, "_q", "left").select(
-        "_q", "_x", F.explode(reach("_x", F.col("cell"), F.col("_d"))).alias("cell")
-    )
-    second = _candidates(cut_lineage(more), placed, blocks, k, query_block)
-    return (
-        first.unionByName(second)
-        .withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= k)
-    )
+    x = vector_of(features)
+    return NeighbourIndex.build(train, x, label, train_id, k, train_block).search(queries, x, query_id, k, query_block)
 
 
-def knn_score(train, queries, features, label, train_id, query_id, k: int = 7, **blocks) -> DataFrame:
-    """(query_id, probability, prediction): share of the positive label among the k nearest."""
-    near = nearest_neighbours(train, queries, features, label, train_id, query_id, k, **blocks)
+def share_of_positive(near: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, probability, prediction): share of the positive label among the neighbours found."""
     return (
         near.groupBy("_q")
         .agg(F.avg("_y").alias("probability"))
         .select(F.col("_q").alias(query_id), "probability", (F.col("probability") > 0.5).cast("int").alias("prediction"))
     )
+
+
+def knn_score(train, queries, features, label, train_id, query_id, k: int = 7, **blocks) -> DataFrame:
+    """(query_id, probability, prediction): share of the positive label among the k nearest."""
+    return share_of_positive(nearest_neighbours(train, queries, features, label, train_id, query_id, k, **blocks), query_id)

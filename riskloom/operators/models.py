@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import require_columns
 from riskloom.functions.session import cut_lineage, reuse
 from riskloom.operators.evaluate import classification_metrics, roc_curve
-from riskloom.operators.knn import knn_score
+from riskloom.operators.knn import NeighbourIndex, share_of_positive, vector_of
 from riskloom.operators.scale import apply_scaler, fit_scaler
 
 FEATURES = "_features"
@@ -145,17 +145,23 @@ def margin(svc, df: DataFrame) -> DataFrame:
 
 
 class KnnModel:
-    """The training rows themselves; scoring is the blocked neighbour join."""
+    """The training rows and their partition tree, which is built at the first use and serves every later one."""
 
     def __init__(self, train: DataFrame, features: Sequence[str], label: str, row_id: str, k: int):
         self.train = train.select(row_id, label, *features)
         self.features, self.label, self.row_id, self.k = list(features), label, row_id, k
+        self._index = None
+
+    def index(self) -> NeighbourIndex:
+        if self._index is None:
+            self._index = NeighbourIndex.build(self.train, vector_of(self.features), self.label, self.row_id, self.k)
+        return self._index
 
     def predict(self, df: DataFrame, query_id: str | None = None) -> DataFrame:
         """A score depends on the features alone: each different vector is asked once, whatever ids the rows have."""
         asked = df.withColumn("_vector", F.sha2(F.to_json(F.struct(*self.features)), 256))
         vectors = asked.select("_vector", *self.features).dropDuplicates(["_vector"])
-        scores = knn_score(self.train, vectors, self.features, self.label, self.row_id, "_vector", self.k)
+        scores = share_of_positive(self.index().search(vectors, vector_of(self.features), "_vector", self.k), "_vector")
         # Metrics and curves read the scores again; the neighbour join runs once.
         return asked.join(cut_lineage(scores), "_vector").drop("_vector")
 

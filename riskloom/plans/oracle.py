@@ -218,6 +218,22 @@ FROM marked, p WHERE split = 'test'""",
     }
 
 
+# Brute force: every pair of a held-out and a training vector.
+NEAREST_SQL = """WITH e AS (
+  SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+c AS (SELECT y, count(*) AS n, sum(count(*)) OVER () AS total FROM e GROUP BY y),
+s AS (SELECT *, total - ceil(0.2 * total) AS n_train, CAST(n AS DOUBLE) * (total - ceil(0.2 * total)) / total AS share FROM c),
+k AS (SELECT y, n - (floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, y)
+                                               <= n_train - sum(floor(share)) OVER () THEN 1 ELSE 0 END) AS n_test FROM s),
+m AS (SELECT e.*, row_number() OVER (PARTITION BY e.y ORDER BY md5(concat_ws('|', '42', vec_id))) <= n_test AS is_test
+      FROM e JOIN k ON e.y = k.y),
+d AS (SELECT q.vec_id, t.y, t.vec_id AS tid, list_distance(q.x, t.x) AS dist
+      FROM m q JOIN m t ON q.is_test AND NOT t.is_test),
+n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, tid) AS place FROM d)
+SELECT vec_id, round(avg(y), 6) AS probability, CASE WHEN avg(y) > 0.5 THEN 1 ELSE 0 END AS prediction
+FROM n WHERE place <= 7 GROUP BY vec_id"""
+
+
 def _evaluation() -> dict[str, str]:
     single = lambda source: f"""WITH t AS ({source}),
 g AS (SELECT s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM t GROUP BY s),
@@ -249,19 +265,8 @@ UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0
         "leaderboard": f"""WITH {METRICS_SQL}, {board}
 SELECT rank, {medals} AS medal, model, accuracy, "precision", recall, f1, roc_auc FROM board""",
         "best_model": f"WITH {METRICS_SQL}, {board} SELECT model, roc_auc FROM board WHERE rank = 1",
-        "nearest_scores": """WITH e AS (
-  SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-c AS (SELECT y, count(*) AS n, sum(count(*)) OVER () AS total FROM e GROUP BY y),
-s AS (SELECT *, total - ceil(0.2 * total) AS n_train, CAST(n AS DOUBLE) * (total - ceil(0.2 * total)) / total AS share FROM c),
-k AS (SELECT y, n - (floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, y)
-                                               <= n_train - sum(floor(share)) OVER () THEN 1 ELSE 0 END) AS n_test FROM s),
-m AS (SELECT e.*, row_number() OVER (PARTITION BY e.y ORDER BY md5(concat_ws('|', '42', vec_id))) <= n_test AS is_test
-      FROM e JOIN k ON e.y = k.y),
-d AS (SELECT q.vec_id, t.y, t.vec_id AS tid, list_distance(q.x, t.x) AS dist
-      FROM m q JOIN m t ON q.is_test AND NOT t.is_test),
-n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, tid) AS place FROM d)
-SELECT vec_id, round(avg(y), 6) AS probability, CASE WHEN avg(y) > 0.5 THEN 1 ELSE 0 END AS prediction
-FROM n WHERE place <= 7 GROUP BY vec_id""",
+        "nearest_scores": NEAREST_SQL,
+        "score_stream_neighbours": NEAREST_SQL,
     }
 
 

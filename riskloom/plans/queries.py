@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.functions.session import checkpoint_dir
+from riskloom.functions.session import checkpoint_dir, cut_lineage
 from riskloom.operators import clean as cl
 from riskloom.operators import codes, evaluate, explain, profile
-from riskloom.operators.knn import knn_score
+from riskloom.operators.knn import NeighbourIndex, knn_score, share_of_positive, vector_of
 from riskloom.operators.models import (
     REGISTRY,
     Fitted,
@@ -43,7 +43,7 @@ from riskloom.plans.cohort import (
     table,
 )
 from riskloom.streaming.score import score_stream as stream_of
-from riskloom.streaming.score import write_scores
+from riskloom.streaming.score import write_batches, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -432,6 +432,25 @@ def nearest_scores(spark, sf_dir):
     return rounded(knn_score(train, test, "embedding", "is_zero", "vec_id", "vec_id"))
 
 
+@query
+def score_stream_neighbours(spark, sf_dir):
+    """The neighbour scores of a file stream: a stored partition tree, searched by each batch, read back from its sink."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("is_zero", (F.col("label") == 0).cast("int"))
+    marks = split_of(rows, "is_zero", ["vec_id"])
+    base = f"{checkpoint_dir(spark)}/neighbours-{uuid.uuid4().hex}"
+    x = vector_of("embedding")
+    NeighbourIndex.build(marks.where("split = 'train'"), x, "is_zero", "vec_id", 7).save(f"{base}/index")
+    index = NeighbourIndex.load(spark, f"{base}/index")
+    held = cut_lineage(marks.where("split = 'test'").select("vec_id"))
+    stream = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parque[t]")
+
+    def found(batch):
+        return share_of_positive(index.search(batch.join(held, "vec_id", "left_semi"), x, "vec_id", 7), "vec_id")
+
+    write_batches(stream, found, f"{base}/rows", f"{base}/state").awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/rows").drop("batch_id"))
+
+
 # Scoring, attribution, reports
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -30,3 +30,23 @@ def write_scores(stream: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_batches(stream: DataFrame, score_batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Score each micro-batch as a table, for models that need a join: nearest neighbours, or any other.
+
+    A batch has a folder named by its id and replaces it as a whole, so a batch that is run again after a failure, or
+    after a restart from the checkpoint, stands there once. Ends when the input is used up.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        score_batch(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_fitted(
+    stream: DataFrame, fitted: Fitted, path: str, checkpoint: str, defaults: Mapping[str, float] | None = None, cuts: Sequence[float] = RISK_CUTS
+):
+    """Scores of a stream by any fitted model, batch by batch."""
+    return write_batches(stream, lambda rows: score(rows, fitted, defaults, cuts), path, checkpoint)

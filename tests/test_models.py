@@ -69,7 +69,7 @@ def test_knn_equals_brute_force(spark, ring):
     d = ((q[X].to_numpy()[:, None, :] - t[X].to_numpy()[None]) ** 2).sum(2)
     order = np.argsort(d, axis=1, kind="stable")[:, :7]
     want = {i: t["id"].to_numpy()[o].tolist() for i, o in zip(q["id"], order)}
-    for blocks in ({}, {"train_block": 23, "query_block": 17, "pivots": 12}, {"pivots": 1}):
+    for blocks in ({}, {"train_block": 23, "query_block": 17}, {"train_block": 7, "query_block": 1000}):
         near = nearest_neighbours(many, test, X, "y", "id", "id", 7, **blocks).toPandas()
         got = near.sort_values(["_q", "_d", "_s"]).groupby("_q")["_s"].apply(list).to_dict()
         assert got == want, blocks
