@@ -3,8 +3,8 @@
 Subtrees of elements are hashed with the page's host and counted in Spark; one that stands on many different pages of
 a host is its template and is deleted. What a single page's structure names as no article (menus, footers, adverts,
 forms, scripts, readers' comments) is deleted as well, since hosts of few pages have no recurring subtrees. Inside the
-article a name alone deletes only containers of a class that can mean nothing else; ids there are often made from
-titles and delete nothing. Prose inside the article is counted only in containers of a class with a word that names no
+article a name alone deletes only containers of a whole class or id that can mean nothing else; on pages without an
+article, containers whose class or id consists of such words. Slugs of titles have other words and delete nothing. Prose inside the article is counted only in containers of a class with a word that names no
 article, so that copied articles keep their paragraphs.
 
 The text is that of the article elements, else of the main element, else of what remains of the page. A null or empty
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -50,20 +51,29 @@ NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search
 NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer "
     "login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply "
-    "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription widget widgets".split()
+    "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription widget widgets header masthead".split()
+)
+# Words that may stand beside those in a class or id that names no article, such as "main-nav" or "related-posts"; any
+# other word makes it a title's slug or a name of its own, such as "share-prices".
+BESIDE = frozenset(
+    "site main page top bottom left right primary secondary global container wrapper wrap box area list block bar inner outer links link items item "
+    "form buttons button icons icon unit slot thread posts articles stories mobile desktop overlay panel".split()
 )
 
-# Whole classes that name no article even inside one, and elements that are never deleted there by class.
+# Whole classes that name no article even inside one, whole ids that do, and elements that are never deleted there by name.
 NO_TEXT_CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertisements adsbygoogle adsense ad-slot ad-container ad-wrapper ad-unit ad-banner banner-ad comments comment-list comments-area "
-    "commentlist comment-form disqus disqus_thread share-bar sharebar share-buttons sharing-buttons social-share social-sharing sharedaddy "
-    "newsletter-signup newsletter-form cookie-notice cookie-banner cookie-consent".split()
+    "ad ads advert adverts advertisement advertisements adsbygoogle adsense ad-slot ad-container ad-wrapper ad-unit ad-banner banner-ad comment comments comment-list "
+    "comments-area commentlist comment-form disqus disqus_thread share-bar sharebar share-buttons sharing-buttons social-share social-sharing sharedaddy "
+    "newsletter newsletter-signup newsletter-form cookie-notice cookie-banner cookie-consent sidebar menu footer notice related-posts respond".split()
 )
+NO_TEXT_IDS = frozenset("comments comment-list disqus_thread respond sidebar footer comment-form newsletter-signup cookie-banner cookie-notice".split())
 TEXT_TAGS = PROSE | {"hgroup", "header", "article", "main", "body", "html"}
+_LINES = frozenset({"p", "li", "td", "blockquote"})
 
 _OFF = NO_ARTICLE_NAMES | {":" + r for r in NO_ARTICLE_ROLES}
-_HEADERS = frozenset({"header", "masthead"})
-_NO_NAMES: tuple[frozenset[str], bool, frozenset[str]] = (frozenset(), False, frozenset())
+_REPLIES = frozenset("comment comments reply replies".split())
+_NO_NAMES: tuple[frozenset[str], bool, frozenset[str], frozenset[str]] = (frozenset(), False, frozenset(), frozenset())
+_UNENDED = ("<!--", "<![CDATA[")
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -81,26 +91,33 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool, frozenset[str]]:
-    """Words of class and id, role marked by a colon; whether the element is hidden; its whole classes."""
+def _names(attributes: str) -> tuple[frozenset[str], bool, frozenset[str], frozenset[str]]:
+    """Roles, marked by a colon; whether the element is hidden; its classes; its id."""
     if not _MARKS.search(attributes):
         return _NO_NAMES
-    words, hidden, classes = set(), False, set()
+    roles, hidden, classes, ids = set(), False, set(), set()
     for m in _NAMED.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id"):
-            words.update(re.split(r"[^a-z0-9]+", value))
-            if key == "class":
-                classes.update(value.split())
+        if key == "class":
+            classes.update(value.split())
+        elif key == "id":
+            ids.update(value.split())
         elif key == "role":
-            words.update(":" + v for v in value.split())
+            roles.update(":" + v for v in value.split())
         elif key == "hidden":
             hidden = True
         elif key == "aria-hidden":
             hidden |= value == "true"
         elif re.search(r"display\s*:\s*none", value):
             hidden = True
-    return frozenset(words), hidden, frozenset(classes)
+    return frozenset(roles), hidden, frozenset(classes), frozenset(ids)
+
+
+@lru_cache(maxsize=10_000)
+def _names_no_article(name: str) -> bool:
+    """Whether a whole class or id consists of words for what is no article, and of words that go with them."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in NO_ARTICLE_NAMES for w in words) and all(w in NO_ARTICLE_NAMES or w in BESIDE for w in words)
 
 
 class Attributes:
@@ -176,11 +193,17 @@ class Page:
                     return None
             return None
 
-        while at < size:
-            m = _TAG.search(html, at)
+        # Behind the last sign that can end a tag there is only text, and perhaps a comment that does not end.
+        last_end = html.rfind(">") + 1
+        tail = size
+        while at < last_end:
+            m = _TAG.search(html, at, last_end)
             if not m:
                 break
             end = m.end() - 1
+            if m[0].startswith(_UNENDED) and not m[0].endswith("]]>" if m[0].startswith("<![") else "-->"):
+                tail = m.start()
+                break
             if m[2] and (end := attributes.end(m.end())) < 0:
                 at = m.end()
                 continue
@@ -219,21 +242,25 @@ class Page:
             elif tag not in VOID:
                 stack.append(i)
                 opened[tag] += 1
-        if text < size:
-            self.texts.append((stack[-1] if stack else -1, html[text:]))
+        tail = min([tail, *[k for k in (html.find(u, max(text, last_end)) for u in _UNENDED) if k >= 0]])
+        if text < tail:
+            self.texts.append((stack[-1] if stack else -1, html[text:tail]))
         close(0, size)
 
     def judge(self) -> None:
         """Which elements are articles, hold one, lie in one, and which the structure deletes."""
         n = len(self.tags)
         named = [_names(a) if a else _NO_NAMES for a in self.attributes]
-        off = [h or not w.isdisjoint(_OFF) for w, h, _ in named]
-        # Inside an article, and for the article itself, words of slugs say nothing.
-        strict = [
-            h or any(x[0] == ":" and x in _OFF for x in w if x) or self.tags[i] not in TEXT_TAGS and not c.isdisjoint(NO_TEXT_CLASSES)
-            for i, (w, h, c) in enumerate(named)
+        clear = [not c.isdisjoint(NO_TEXT_CLASSES) or not d.isdisjoint(NO_TEXT_IDS) for _, _, c, d in named]
+        shut = [h or not r.isdisjoint(_OFF) for r, h, _, _ in named]
+        # Inside an article only whole names that are clear delete, and neither text nor titles.
+        strict = [x or self.tags[i] not in TEXT_TAGS and clear[i] for i, x in enumerate(shut)]
+        # Outside, containers go by any name made of such words, and paragraphs by a clear class.
+        off = [
+            x or (any(map(_names_no_article, c | d)) if self.tags[i] not in TEXT_TAGS else self.tags[i] in _LINES and not c.isdisjoint(NO_TEXT_CLASSES))
+            for i, (x, (_, _, c, d)) in enumerate(zip(shut, named))
         ]
-        other = [h or s or not c.isdisjoint(NO_ARTICLE_NAMES) or any(x.startswith("comment-") for x in c) for (_, h, c), s in zip(named, strict)]
+        other = [s or not c.isdisjoint(NO_ARTICLE_NAMES) or any(x.startswith("comment-") for x in c) for (_, _, c, _), s in zip(named, strict)]
         articles = [i for i in range(n) if self.tags[i] == "article" and not other[i]]
         mains = [i for i in range(n) if (self.tags[i] == "main" or ":main" in named[i][0]) and not other[i]]
         self.holds = [False] * n
@@ -249,13 +276,14 @@ class Page:
             self.inside[i] = i in self.roots or within
             if self.holds[i]:
                 continue
-            tag, words = self.tags[i], named[i][0]
+            tag = self.tags[i]
             if p >= 0 and self.gone[p] or tag in NO_ARTICLE or tag in RAW:
                 self.gone[i] = True
             elif tag not in ("html", "body"):
-                self.gone[i] = strict[i] if within else off[i] or tag == "header" or not words.isdisjoint(_HEADERS)
+                reader = tag == "article" and (not named[i][2].isdisjoint(_REPLIES) or any(x.startswith("comment-") for x in named[i][2]))
+                self.gone[i] = strict[i] or reader if within else off[i] or tag == "header"
         # Named containers, which recurrence on the host deletes inside an article too.
-        self.named = [self.tags[i] not in TEXT_TAGS and any(not _OFF.isdisjoint(x.split("-")) for x in c) for i, (_, _, c) in enumerate(named)]
+        self.named = [self.tags[i] not in TEXT_TAGS and any(not NO_ARTICLE_NAMES.isdisjoint(x.split("-")) for x in c) for i, (_, _, c, _) in enumerate(named)]
         for i in range(n - 1, -1, -1):
             if self.prose[i] and self.parents[i] >= 0:
                 self.prose[self.parents[i]] = True

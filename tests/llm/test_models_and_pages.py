@@ -243,9 +243,12 @@ def test_pipeline_runs(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 def test_every_query_keeps_every_row(spark):
     for name, f in llm_queries().items():
-        out, table = f(spark, SF), "pages" if name.startswith("op10") else "documents"
-        key = "page_id" if table == "pages" else "doc_id"
+        # The words of op13 are no rows of a table; they have a brute-force test of their own.
+        if name.startswith("op13"):
+            continue
+        table, key = {"op10": ("pages", "page_id"), "op12": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+        out = f(spark, SF)
         rows = spark.read.parquet(f"{SF}/{table}.parquet")
         assert out.select(key).distinct().count() == rows.count(), name
         if not name.startswith("op9"):
-            assert out.count() == rows.count(), name
+            assert out.count() == rows.count() * (16 if name.startswith("op12") else 1), name

@@ -15,13 +15,57 @@ def _text(html, deleted=()):
 
 @pytest.mark.parametrize(
     "tag",
-    ['h2 id="related-work"', 'section id="search-algorithms"', 'section id="social-policy"', 'p class="notice-period"', 'div class="share-prices"', 'div id="comments"', 'li class="menu"'],
+    ['h2 id="related-work"', 'section id="search-algorithms"', 'section id="social-policy"', 'p class="notice-period"', 'div class="share-prices"', 'li class="menu"', 'h2 id="comments"', 'div class="newsletter-box"'],
 )
 def test_slugs_inside_an_article_delete_nothing(tag):
     name = tag.split()[0]
     assert _text(f"<body><article><p>One</p><{tag}>two</{name}><p>three</p></article></body>") == "One two three"
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'h2 id="related-work"', 'section id="search-algorithms"', 'p class="notice-period"', 'div class="share-prices"', 'h2 id="notice-of-results"',
+        'p id="login-flow"', 'div class="post-header"', 'div id="menu-of-the-day"',
+    ],
+)
+def test_slugs_on_a_page_without_article_delete_nothing(tag):
+    name = tag.split()[0]
+    assert _text(f"<body><p>One</p><{tag}>two</{name}><p>three</p></body>") == "One two three"
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'div class="main-nav"', 'div id="site-footer"', 'ul class="nav-menu"', 'div class="cookie-banner"', 'div class="related-posts"', 'section id="comments"',
+        'div id="disqus_thread"', 'div class="site-header"', 'span class="ad"', 'p class="notice"', 'div class="comment-list"', 'div class="sidebar-left"',
+    ],
+)
+def test_names_on_a_page_without_article(tag):
+    name = tag.split()[0]
+    assert _text(f"<body><p>One</p><{tag}>two</{name}><p>three</p></body>") == "One three"
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'div id="comments"', 'article class="comment"', 'article class="comment-12 even"', 'div class="comment"', 'div id="disqus_thread"', 'div id="respond"', 'div class="sidebar"',
+        'div id="sidebar"', 'ul class="menu"', 'div class="newsletter"', 'div class="related-posts"', 'div class="notice"', 'div id="footer"',
+    ],
+)
+def test_readers_comments_and_boxes_inside_an_article(tag):
+    name = tag.split()[0]
+    assert _text(f"<body><article><p>One</p><{tag}><b>two</b></{name}><p>three</p></article></body>") == "One three"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [("<p>a</p> b <!-- c", "a b"), ("<p>a <!-- b <i>c</i>", "a"), ("a <![CDATA[ b > c", "a"), ("a <![CDATA[ b ]]> c", "a c"), ("<p>a</p> <b", "a <b"), ("a <!x> b <!y", "a b <!y"), ("a </b", "a </b")],
+)
+def test_ends_of_pages(html, want):
+    assert _text(html) == want
+
+
 @pytest.mark.parametrize("tag", ['article id="social-policy"', 'article class="post category-social tag-search"', 'main id="search-algorithms"'])
 def test_slugs_of_the_article_itself(tag):
     name = tag.split()[0]
@@ -59,7 +103,7 @@ def test_broken_tags(html, want):
     assert _text(html) == want
 
 
-@pytest.mark.parametrize("part", ['<a "<a" ', "<a '", "<a \"<a '", '<a "" ', '<a x="', "<a"])
+@pytest.mark.parametrize("part", ['<a "<a" ', "<a '", "<a \"<a '", '<a "" ', '<a x="', "<a", "<a</a", "<!<!", "<!--", "<![CDATA["])
 def test_broken_tags_take_linear_time(part):
     begin = time.process_time()
     html_text.Page(part * (400_000 // len(part)))
