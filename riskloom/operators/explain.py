@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import fixed, require_columns
 from riskloom.functions.session import BROADCAST_ROWS, checkpoint_dir
+from riskloom.operators.coalitions import COALITIONS, coalition_sums
 from riskloom.operators.models import FEATURES, Fitted, assembled
 from riskloom.operators.trees import LEAVES_PER_PART, Tree, with_attributions
 
@@ -242,6 +243,19 @@ def explain_sampled(
     return _long(sums, row_id, features, phis, F.col("_g0"), "probability", top)
 
 
+def explain_coalitions(
+    df: DataFrame, row_id: str, features: Sequence[str], score_fn: Callable[[DataFrame], DataFrame], background: DataFrame,
+    most: int = COALITIONS, seed: int = 42, top: int | None = None,
+) -> DataFrame:
+    """Attribution of any model by weighted least squares over coalitions, exact when all of them are asked.
+
+    Costs a score per record, coalition and background row; `explain_sampled` asks far fewer.
+    """
+    sums = coalition_sums(df, row_id, features, score_fn, background, most, seed)
+    phis = [F.col(f"_g{j + 1}") for j in range(len(features))]
+    return _long(sums, row_id, list(features), phis, F.col("_g0"), "probability", top)
+
+
 def explain(
     df: DataFrame, row_id: str, fitted: Fitted, n_perm: int = 20, seed: int = 42, top: int | None = None
 ) -> DataFrame:

@@ -353,6 +353,9 @@ FROM r WHERE rank <= 2"""
         "explain_linear": f"""WITH {phi} SELECT row_key, feature, round(phi, 6) AS phi,
        round((SELECT CAST(-1.5 AS DOUBLE) + {base}), 6) AS base_value, 'log_odds' AS output_space FROM phi""",
         "explain_tree_fixed": tree_sql(),
+        # The weighted mean over the groups' means is the mean of all lines.
+        "explain_sampled_linear": f"""WITH {phi} SELECT row_key, feature, round(phi, 6) AS phi,
+       round((SELECT CAST(-1.5 AS DOUBLE) + {base}), 6) AS base_value FROM phi""",
         "top_contributions": top,
         "top_contributions_stored": top,
         "global_importance": f"WITH {phi} SELECT feature, round(avg(abs(phi)), 6) AS importance FROM phi GROUP BY feature",

@@ -588,6 +588,20 @@ def explain_sampled(spark, sf_dir):
     return explain.explain(apply_scaler(test, fitted.scaler), "row_key", fitted)
 
 
+@query
+def explain_sampled_linear(spark, sf_dir):
+    """Attribution of a linear score of every line item over all coalitions; the background is the mean line of each return flag."""
+    rows = table(spark, sf_dir, "lineitem").select(line_key().alias("row_key"), *LINE_WEIGHTS)
+    background = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        *[F.avg(c).alias(c) for c in LINE_WEIGHTS], F.count("*").cast("double").alias("weight")
+    )
+    z = F.lit(LINE_INTERCEPT)
+    for c, w in LINE_WEIGHTS.items():
+        z = z + F.col(c) * F.lit(w)
+    found = explain.explain_coalitions(rows, "row_key", list(LINE_WEIGHTS), lambda t: t.withColumn("probability", z), background)
+    return rounded(found.select("row_key", "feature", "phi", "base_value"))
+
+
 @query
 def explain_boosted(spark, sf_dir):
     done, test = trained(spark, sf_dir, [bounded_spec("gbt")])
