@@ -8,10 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import nan_to_null, number_or_null, ratio, require_columns
-from riskloom.functions.session import reuse
+from riskloom.functions.columns import is_fractional, nan_to_null, number_or_null, ratio, require_columns
+from riskloom.functions.session import cut_lineage, reuse
 from riskloom.operators.quantiles import BUCKETS, exact_medians, modes
 
+# Repeated digests that are sent to every task, of 16 bytes each.
+SENT_DIGESTS = 500_000
+
 
 def positive(c: Column) -> Column:
     """1 when above zero, else 0; a missing value is 0."""
@@ -32,9 +35,36 @@ def binarise(
     return df.withColumn(col, positive(F.col(col)))
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """Remove copies of whole rows; missing equals missing. Copies are merged before the shuffle."""
-    return nan_to_null(df).dropDuplicates()
+def with_digest(df: DataFrame) -> DataFrame:
+    """Adds _d1, _d2: 128 bits of hashes of the whole row, in which a gap counts as a value."""
+    # A hash passes over gaps, so where they are is hashed too; -0.0 and 0.0 are one value.
+    parts = [F.col(c) + 0.0 if is_fractional(df, c) else F.col(c) for c in df.columns]
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    return df.withColumn("_d1", F.xxhash64(*parts, gaps)).withColumn("_d2", F.xxhash64(F.lit(1), gaps, *parts))
+
+
+def repeated_digests(df: DataFrame) -> DataFrame:
+    """(_d1, _d2) of the rows of a `with_digest` table that may have copies; what is shuffled is two numbers a row."""
+    return df.groupBy("_d1", "_d2").agg(F.count("*").alias("_n")).where("_n > 1").select("_d1", "_d2")
+
+
+def deduplicate(df: DataFrame, by_digest: bool = False) -> DataFrame:
+    """Remove copies of whole rows; missing equals missing. Copies are merged before the shuffle.
+
+    With `by_digest`, for wide rows: digests are shuffled in their place, and rows are compared as a whole only where
+    digests repeat; the others stay where they are. It reads the table three times. Where too many digests repeat to be
+    sent to every task, whole rows are merged as without it.
+    """
+    rows = nan_to_null(df)
+    if not by_digest:
+        return rows.dropDuplicates()
+    hashed = with_digest(rows)
+    repeated = cut_lineage(repeated_digests(hashed))
+    if repeated.limit(SENT_DIGESTS + 1).count() > SENT_DIGESTS:
+        return rows.dropDuplicates()
+    sent = F.broadcast(repeated)
+    alone = hashed.join(sent, ["_d1", "_d2"], "left_anti").select(*rows.columns)
+    return alone.unionByName(hashed.join(sent, ["_d1", "_d2"], "left_semi").select(*rows.columns).dropDuplicates())
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

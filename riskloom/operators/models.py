@@ -26,6 +26,7 @@ from riskloom.functions.session import cut_lineage, reuse
 from riskloom.operators.evaluate import classification_metrics, roc_curve
 from riskloom.operators.knn import NeighbourIndex, share_of_positive, vector_of
 from riskloom.operators.scale import apply_scaler, fit_scaler
+from riskloom.operators.split import first_rows
 
 FEATURES = "_features"
 # Split candidates per column of every tree model: no fewer than any code column has values.
@@ -37,7 +38,7 @@ class ModelSpec:
     """A classifier by kind; `explains` names how its scores are attributed to features.
 
     Parameters beside the fixed ones: `bins`, the split candidates of a column in trees, forests and boosting;
-    `fit_rows`, about how many labelled rows a fit may use (by default all), drawn by the hash of the row id.
+    `fit_rows`, how many labelled rows a fit may use (by default all): the first of each class by the hash of the row id.
     """
 
     name: str
@@ -257,8 +258,7 @@ def fit_model(
         return _fit_rbf(train, features, label, row_id, n, spec.params, seed)
     bound = spec.params.get("fit_rows")
     if bound is not None and bound < n:
-        drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_003)) < F.lit(int(1_000_003 * bound / n))
-        train = reuse(train.where(drawn).coalesce(1 + bound // 50_000))
+        train = reuse(first_rows(train, label, [row_id], bound, seed).coalesce(1 + bound // 50_000))
     estimator = make_classifier(spec.kind, label, n if bound is None else min(n, bound), spec.params, seed)
     fitted = SparkModel(estimator.fit(assembled(train, features).select(label, FEATURES)), features)
     if bound is not None and bound < n:

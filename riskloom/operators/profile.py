@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import lookup, nan_to_null, ratio, require_columns, rows_of
 from riskloom.functions.session import broadcast_if_small
-from riskloom.operators.clean import missing_counts
+from riskloom.operators.clean import missing_counts, with_digest
 from riskloom.operators.codes import melt, numeric_columns
 from riskloom.operators.quantiles import BUCKETS, exact_percentiles
 
@@ -44,19 +44,16 @@ class Quality(NamedTuple):
 
 
 def quality_summary(df: DataFrame) -> DataFrame:
-    """One shuffle: copies of a row are merged first, so rows, copies and gaps come from one table."""
-    df = nan_to_null(df)
+    """Rows, columns, copies and gaps. Digests are shuffled for the count, and whole rows only where digests repeat."""
+    rows = nan_to_null(df)
     gaps = sum((F.col(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
-    return (
-        df.groupBy(*df.columns)
-        .agg(F.count("*").alias("_n"))
-        .select("_n", (gaps * F.col("_n")).alias("_gaps"))
-        .agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-            F.lit(len(df.columns)).cast("bigint").alias("total_cols"),
-            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
-            F.coalesce(F.sum("_gaps"), F.lit(0)).alias("missing_total"),
-        )
+    hashed = with_digest(rows)
+    once = hashed.groupBy("_d1", "_d2").agg(F.count("*").alias("_n"), F.sum(gaps).alias("_gaps"))
+    repeated = once.where("_n > 1").select("_d1", "_d2")
+    copies = hashed.join(repeated, ["_d1", "_d2"], "left_semi").groupBy(*df.columns).agg((F.count("*") - 1).alias("_more"))
+    counted = once.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum("_gaps"), F.lit(0)).alias("missing_total"))
+    return counted.join(copies.agg(F.coalesce(F.sum("_more"), F.lit(0)).alias("duplicates"))).select(
+        "total_rows", F.lit(len(df.columns)).cast("bigint").alias("total_cols"), "duplicates", "missing_total"
     )
 
 

@@ -102,6 +102,36 @@ def stratified_split(
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
+def class_quotas(class_counts: Mapping, most: int) -> dict:
+    """`most` rows dealt over the classes by largest remainder, none of which is left without a row."""
+    total = sum(class_counts.values())
+    shares = {c: n * most / total for c, n in class_counts.items()}
+    quotas = {c: math.floor(s) for c, s in shares.items()}
+    spare = most - sum(quotas.values())
+    for c in sorted(class_counts, key=lambda c: (-(shares[c] - quotas[c]), c))[:spare]:
+        quotas[c] += 1
+    return {c: min(class_counts[c], max(1, k)) for c, k in quotas.items()}
+
+
+def first_rows(df: DataFrame, label: str, keys: Sequence[str], most: int, seed: int = 42) -> DataFrame:
+    """The `most` rows that come first by the hash of their key, each class with its share and at least one row.
+
+    Exact for any number of rows: the boundary hash of a class is found by counting, and rows are compared with it.
+    """
+    require_columns(df, label, *keys)
+    counts = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) <= most:
+        return df
+    # Not the hash of the split, whose train rows all lie above its boundary.
+    h = row_hash(seed, keys)
+    h = F.md5(F.concat(h, F.lit("first")))
+    bounds = _thresholds(df.select(label, h.alias("_h")), label, class_quotas(counts, most))
+    keep = F.lit(False)
+    for c, bound in bounds.items():
+        keep = keep | ((F.col(label) == F.lit(c)) & (h <= F.lit(bound)))
+    return df.where(keep)
+
+
 def split_frames(df: DataFrame, *args, **kwargs) -> tuple[DataFrame, DataFrame]:
     marked = stratified_split(df, *args, **kwargs)
     part = {s: marked.where(F.col("split") == s).drop("split") for s in ("train", "test")}

@@ -241,7 +241,7 @@ def deduplicate(spark, sf_dir):
 @query
 def deduplicate_texts(spark, sf_dir):
     """Documents that are copies in language and whole text."""
-    return cl.deduplicate(table(spark, sf_dir, "documents").select("lang", "text"))
+    return cl.deduplicate(table(spark, sf_dir, "documents").select("lang", "text"), by_digest=True)
 
 
 @query
