@@ -46,7 +46,7 @@ INDEX = 2_048
 # Queries that walk side by side.
 SIDE = 512
 # Bytes of a table that may be broadcast.
-SENT_BYTES = 32 << 20
+SENT_BYTES = 8 << 20
 
 
 # ------------------------------------------------------------------------------------------------ words
