@@ -77,12 +77,11 @@ class Memory:
         if len(self.young) + len(keys) > self.size:
             self.young, self.old = {}, self.young
         young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
+        for k in keys - young.keys():
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
         return out
 
 

@@ -24,6 +24,8 @@ from riskloom.llm.subwords import WORD_MODEL, word_ids
 
 CAPACITY = 4096
 END_ID = 2
+# Pieces that are numbered together.
+ROWS_PER_CELL = 5_000
 
 
 def classes(capacity: int = CAPACITY) -> dict[int, int]:
@@ -89,7 +91,7 @@ def plan_rest(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(docs: DataFrame, capacity: int = CAPACITY, model: str = WORD_MODEL, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: gapless sequences of at most ``capacity`` tokens."""
     spark = docs.sparkSession
-    numbered = number_rows(cut_lineage(pieces(docs, capacity, model, end_id, keep_ids)), ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "__i")
+    numbered = number_rows(cut_lineage(pieces(docs, capacity, model, end_id, keep_ids)), ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "__i", ROWS_PER_CELL)
     # A row per class: some hundred at most.
     counts = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     per, plan, first, left = classes(capacity), [], 0, {}

@@ -11,6 +11,7 @@ Both vocabularies read a text as independent units, so a text's ids are the ids
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -23,6 +24,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 REMEMBERED = 200_000
 # Longer units are encoded each time.
 LONGEST = 64
+# Parts of words that the library encodes at once.
+JOINED = 1_000
+# Stands between the ids of words; ids below 2^24 have no such bytes, wherever one cuts.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 def model_path(model: str) -> str:
@@ -38,34 +43,53 @@ class WordIds:
     """Ids of whole texts by a ``tokenizers`` vocabulary, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, model: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(model_path(model))
         self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
-        # Words of these characters fold and split alike here and in the tokenizer; others are encoded whole.
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-įı-ſ]+")
-        # Fixed value: the pattern by which the vocabulary splits words.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # Words of these characters fold and split alike here and in the tokenizer; others, and long ones, are encoded whole.
+        self.whole = re.compile(rf"^(?:.{{{LONGEST + 1},}}|.*(?:[^\n\x21-\x7e\xa1-įı-ſ]|<\|).*)$", re.M)
+        # Fixed value: the pattern by which the vocabulary splits words, for those characters, and the line breaks between words.
+        letter, number = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9²³¹¼½¾"
+        self.split = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
+        # Ids that end a part of a word, by the vocabulary's suffix.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max(names.values(), default=0), dtype=bool)
+        self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
 
     def _encode(self, units: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        split, whole = {}, []
-        for w in words:
-            s = w.decode()
-            if len(s) <= LONGEST and "<|" not in s and self.plain.fullmatch(s):
-                split[w] = self.split.findall(s.lower())
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that the split leaves as they are: many between spaces at once, cut behind the ids that end a part."""
+        out = []
+        for a in range(0, len(parts), JOINED):
+            block = parts[a : a + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if not len(ids) or int(ids.max()) < len(self.ends) else []
+            if len(cuts) == len(block) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), (4 * cuts).tolist()
+                out += [raw[i:j] for i, j in zip([0, *at], at)]
             else:
-                whole.append(w)
-        new = self.parts.missing({p for ps in split.values() for p in ps})
-        parts = self.parts.young
-        parts.update(zip(new, self._encode(new)))
-        got = {w: b"".join([parts[p] for p in ps]) for w, ps in split.items()}
-        got.update(zip(whole, self._encode([w.decode() for w in whole])))
+                # A vocabulary without that suffix, or one that lacks a character.
+                out += self._encode(block)
+        return out
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word. Words have no white space, so that lines hold one each."""
+        text = b"\n".join(words).decode()
+        odd = {s.encode() for s in self.whole.findall(text)}
+        got = dict(zip(odd, self._encode([w.decode() for w in odd])))
+        plain = [w for w in words if w not in odd] if odd else words
+        if plain:
+            flat = self.split.findall((b"\n".join(plain).decode() if odd else text).lower())
+            new = self.parts.missing({*flat} - {"\n"})
+            parts = self.parts.young
+            parts.update(zip(new, self._encode_parts(new)))
+            parts["\n"] = BETWEEN
+            got.update(zip(plain, b"".join(map(parts.__getitem__, flat)).split(BETWEEN)))
         return got
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -75,11 +99,11 @@ class WordIds:
     def by_word(self, texts: list[bytes]) -> list[list[bytes]]:
         """The ids of each word, between ASCII white space, of each text."""
         split = [t.split() for t in texts]
-        new = self.words.missing({w for ws in split for w in ws})
+        new = self.words.missing(set().union(*split))
         known = self.words.young
         if new:
             known.update(self._learn(new))
-        out = [[known[w] for w in ws] for ws in split]
+        out = [list(map(known.__getitem__, ws)) for ws in split]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]

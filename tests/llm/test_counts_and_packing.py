@@ -132,3 +132,18 @@ def _sum():
 
 def test_no_rows_no_shards(spark):
     assert sharding.shard_rows(_docs(spark, []), 24).count() == 0
+
+
+def test_words_of_every_plain_character_equal_the_library():
+    r = random.Random(9)
+    model = subwords.WordIds(subwords.WORD_MODEL)
+    plain = [chr(i) for i in [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]]
+    texts = [" ".join("".join(r.choice(plain) for _ in range(r.randint(1, 70))) for _ in range(40)) for _ in range(200)] + [" ".join(a + "b" + a for a in plain)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in model.ids([t.encode() for t in texts])]
+    assert got == [e.ids for e in model.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_parts_without_an_end_are_encoded_one_by_one():
+    model = subwords.WordIds(subwords.WORD_MODEL)
+    model.ends[:] = False
+    assert np.frombuffer(model.ids([b"several words, here"])[0], "<u4").tolist() == model.tokenizer.encode("several words, here", add_special_tokens=False).ids
