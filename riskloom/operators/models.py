@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -23,7 +21,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import require_columns
 from riskloom.functions.session import cut_lineage, reuse
-from riskloom.operators.evaluate import classification_metrics, roc_curve
+from riskloom.operators import kernel
+from riskloom.operators.evaluate import classification_metrics, roc_auc, roc_curve
 from riskloom.operators.knn import NeighbourIndex, share_of_positive, vector_of
 from riskloom.operators.scale import apply_scaler, fit_scaler
 from riskloom.operators.split import first_rows
@@ -53,7 +52,7 @@ REGISTRY = [
     ModelSpec("Random Forest", "forest", "tree", {"trees": 200, "depth": 30}),
     ModelSpec("Decision Tree", "tree", "tree", {"depth": 8}),
     ModelSpec("K-Nearest Neighbors", "knn", "sampled", {"k": 7}),
-    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "waves": 128, "max_iter": 100, "tol": 1e-4}),
+    ModelSpec("Support Vector Machine", "rbf_svc", "sampled", {"C": 1.0, "landmarks": 128, "max_iter": 100}),
     ModelSpec("Gradient Boosting", "gbt", "tree", {"rounds": 200, "rate": 0.05, "depth": 6}),
 ]
 ORDER = [m.name for m in REGISTRY]
@@ -103,46 +102,18 @@ class LinearScore:
 
 
 class RbfModel:
-    """Linear classifier on random Fourier features, with a logistic curve on its margin.
+    """Gaussian-kernel margins as a weighted sum over landmarks, with a logistic curve on them. It holds numbers only."""
 
-    The features approximate the Gaussian kernel (Rahimi and Recht, 2007); they follow from the
-    seed, so only the two Spark models hold fitted numbers.
-    """
-
-    def __init__(self, svc, curve, features: Sequence[str], gamma: float, waves: int, seed: int):
-        self.svc, self.curve, self.features = svc, curve, list(features)
-        self.gamma, self.waves, self.seed = gamma, waves, seed
-
-    def margins(self, df: DataFrame) -> DataFrame:
-        lifted = with_waves(df, self.features, self.gamma, self.waves, self.seed)
-        return margin(self.svc, lifted)
+    def __init__(self, places, alpha, shift: float, curve: Sequence[float], features: Sequence[str], gamma: float):
+        self.places, self.alpha, self.shift = np.asarray(places, dtype=float), np.asarray(alpha, dtype=float), float(shift)
+        self.curve, self.features, self.gamma = [float(c) for c in curve], list(features), float(gamma)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.margins(df).withColumn("_m", array_to_vector(F.array("_margin")))
-        curve = self.curve.setFeaturesCol("_m").setPredictionCol("_p").setRawPredictionCol("_r")
-        return (
-            curve.transform(scored)
-            .withColumn("probability", vector_to_array("probability")[1])
-            .withColumn("prediction", (F.col("_margin") > 0).cast("int"))
-            .drop("_m", "_p", "_r", "_margin")
-        )
-
-
-def with_waves(df: DataFrame, features: Sequence[str], gamma: float, waves: int, seed: int) -> DataFrame:
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=np.sqrt(2 * gamma), size=(len(features), waves))
-    b = rng.uniform(0, 2 * np.pi, size=waves)
-
-    @F.pandas_udf("array<double>")
-    def lift(xs: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / waves) * np.cos(np.stack(xs.to_numpy()) @ w + b)))
-
-    return df.withColumn(FEATURES, array_to_vector(lift(F.array(*features))))
-
-
-def margin(svc, df: DataFrame) -> DataFrame:
-    scored = svc.setRawPredictionCol("_raw").setPredictionCol("_pred").transform(df)
-    return scored.withColumn("_margin", vector_to_array("_raw")[1]).drop("_raw", "_pred", FEATURES)
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+        scored = df.withColumn("_margin", kernel.margin_at(x, self.places, self.alpha, self.shift, self.gamma))
+        slope, level = self.curve
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_margin") * slope + level)))
+        return scored.withColumns({"probability": chance, "prediction": (F.col("_margin") > 0).cast("int")}).drop("_margin")
 
 
 class KnnModel:
@@ -182,39 +153,30 @@ def _fit_rbf(train, features, label, row_id, n, params, seed, folds=3):
         middle = sum(means) / len(means)
         spread = sum((each[f"v{i}"] or 0.0) + (means[i] - middle) ** 2 for i in range(len(features))) / len(means)
         gamma = 1.0 / (len(features) * (spread or 1.0))
-    waves = params.get("waves", 128)
-    lifted = reuse(
-        with_waves(train, features, gamma, waves, seed)
-        .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(folds)).cast("int"))
-        .select(label, FEATURES, "_fold")
-    )
-
-    def fit(rows, size):
-        return LinearSVC(
-            featuresCol=FEATURES, labelCol=label, regParam=1.0 / (params.get("C", 1.0) * max(size, 1)),
-            standardization=False, maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-4),
-        ).fit(rows)
-
-    # The curve is fitted on margins of rows the classifier has not seen. The fits do not depend on
-    # each other, so their many small jobs run side by side.
-    sizes = {(r["_fold"], r[label]): r["n"] for r in lifted.groupBy("_fold", label).agg(F.count("*").alias("n")).collect()}
-    rest = [sum(k for (g, _), k in sizes.items() if g != f) for f in range(folds)]
-    whole = any(len({y for (g, y) in sizes if g != f}) < 2 for f in range(folds))
-    sets = [(lifted, n)] + [(lifted.where(F.col("_fold") != f), rest[f]) for f in range(folds) if not whole]
-    with ThreadPool(len(sets)) as pool:
-        svc, *held = pool.map(inheritable_thread_target(train.sparkSession)(lambda s: fit(*s)), sets)
-    out_of_fold = margin(svc, lifted).select(label, "_margin") if whole else None
-    for f, m in enumerate(held):
-        part = margin(m, lifted.where(F.col("_fold") == f)).select(label, "_margin")
-        out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-    curve = LogisticRegression(featuresCol="_m", labelCol=label).fit(
-        out_of_fold.withColumn("_m", array_to_vector(F.array("_margin")))
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    rows = reuse(train.select(
+        *features, x.alias("_x"), array_to_vector(x).alias(FEATURES), (F.when(F.col(label) == 1, 1.0).otherwise(-1.0)).alias("_y"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(folds)).cast("int").alias("_fold"), F.col(label).cast("double").alias(label),
+    ))
+    marks = kernel.Landmarks.of(kernel.choose_landmarks(rows, features, FEATURES, params.get("landmarks", 128), seed), gamma)
+    counted = {(r["_fold"], r[label]): r["n"] for r in rows.groupBy("_fold", label).agg(F.count("*").alias("n")).collect()}
+    # The curve is fitted on margins of rows that the classifier has not seen.
+    whole = any(len({y for (g, y) in counted if g != f}) < 2 for f in range(folds))
+    left_out = [] if whole else list(range(folds))
+    weights, settled = kernel.fit_margins(
+        rows.select("_x", "_y", "_fold"), marks, params.get("C", 1.0), params.get("max_iter", 100), params.get("tol", 1e-7), left_out
     )
-    lifted.unpersist()
-    model = RbfModel(svc, curve, features, gamma, waves, seed)
-    limit = params.get("max_iter", 100)
-    if svc.summary().totalIterations >= limit:
-        model.note = f"stopped after {limit} iterations, before its tolerance"
+    parts = [(rows, weights[0])] if whole else [(rows.where(F.col("_fold") == f), weights[1 + f]) for f in range(folds)]
+    unseen = None
+    for part, w in parts:
+        got = part.select(label, array_to_vector(F.array(kernel.margin_of(F.col("_x"), marks, w))).alias("_m"))
+        unseen = got if unseen is None else unseen.unionByName(got)
+    curve = LogisticRegression(featuresCol="_m", labelCol=label).fit(unseen)
+    rows.unpersist()
+    w = weights[0]
+    model = RbfModel(marks.places, marks.lift @ w[:-1], w[-1], [curve.coefficients[0], curve.intercept], features, gamma)
+    if not settled:
+        model.note = f"stopped after {params.get('max_iter', 100)} steps, before its tolerance"
     return model
 
 
@@ -294,6 +256,23 @@ class Trained:
     def roc(self, label: str) -> DataFrame:
         return roc_curve(self.predictions, label, "probability", ["model"])
 
+    def notes(self, label: str) -> DataFrame:
+        """(model, explains, auc): how each model's scores are explained, and its AUC unrounded."""
+        kinds = self.predictions.sparkSession.createDataFrame([(m, f.spec.explains) for m, f in self.fitted.items()], "model string, explains string")
+        area = roc_auc(self.predictions, label, "probability", ["model"]).withColumnRenamed("roc_auc", "auc")
+        return F.broadcast(kinds).join(area, "model", "left").select("model", "explains", "auc")
+
+
+def table_digest(df: DataFrame) -> list:
+    """Number of rows and two sums over hashes of the rows: the same for any order and partitioning, in one pass without a shuffle."""
+    wide = lambda seed: F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)")
+    row = df.agg(F.count("*").alias("n"), F.sum(wide(1)).alias("a"), F.sum(wide(2)).alias("b")).first()
+    return [row["n"], str(row["a"]), str(row["b"])]
+
+
+def digest_of(settings: list) -> str:
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
+
 
 def train_all(
     train: DataFrame,
@@ -303,11 +282,14 @@ def train_all(
     row_id: str,
     models: Sequence[ModelSpec] = tuple(REGISTRY),
     seed: int = 42,
+    store=None,
 ) -> Trained:
     """Scale, fit every model, and predict the held-out rows.
 
     A model that fails is left out and named in `status`; if all fail, that is an error. The scaled
     rows are kept for the passes of the fits; each model's predictions are written once, for every metric.
+    With a `store` (`sources.artifacts.ModelStore`) each fitted model is kept under a digest of the rows and settings, and one
+    that is there already is not fitted again.
     """
     spark = train.sparkSession
     scaler = fit_scaler(train, features)
@@ -316,14 +298,23 @@ def train_all(
     scaled_train = reuse(apply_scaler(train.select(*columns), params))
     scaled_test = apply_scaler(test.select(*columns), params)
     n = scaled_train.count()
+    data = [table_digest(train.select(*columns)), table_digest(test.select(*columns))] if store else []
     fitted, parts, status = {}, [], []
     for spec in models:
         try:
-            model = fit_model(spec, scaled_train, features, label, row_id, seed, n)
-            scores = model.predict(scaled_test)
-            parts.append(cut_lineage(scores.select(F.lit(spec.name).alias("model"), row_id, label, "prediction", "probability")))
-            fitted[spec.name] = Fitted(spec, model, params, list(features), scaled_train)
-            status.append((spec.name, "ok", getattr(model, "note", "")))
+            key = digest_of([spec.name, spec.kind, spec.explains, spec.params, list(features), label, row_id, seed, data])
+            had = store.load(key) if store else None
+            if had:
+                done, scores = had
+                done.background = scaled_train
+            else:
+                model = fit_model(spec, scaled_train, features, label, row_id, seed, n)
+                scores = model.predict(scaled_test).select(F.lit(spec.name).alias("model"), row_id, label, "prediction", "probability")
+                done = Fitted(spec, model, params, list(features), scaled_train)
+                scores = store.save(key, done, scores) if store else cut_lineage(scores)
+            parts.append(scores)
+            fitted[spec.name] = done
+            status.append((spec.name, "ok", getattr(done.model, "note", "")))
         except Exception as e:
             status.append((spec.name, "failed", str(e)))
     if not parts:

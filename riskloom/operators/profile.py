@@ -19,6 +19,9 @@ from riskloom.operators.clean import missing_counts, with_digest
 from riskloom.operators.codes import melt, numeric_columns
 from riskloom.operators.quantiles import BUCKETS, exact_percentiles
 
+# Terms of the kernel's series within a bin.
+SERIES = 12
+
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
@@ -265,18 +268,16 @@ def outliers(
 def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int = BUCKETS) -> DataFrame:
     """Gaussian kernel density per class on an even grid over the column's range: (by, x, density).
 
-    Every row counts. Kernel sums are combined before their shuffle, which carries one row per
-    class. Where values repeat often, equal ones are first merged to one weighted row. A class whose
-    values are all the same has no bandwidth: its density is NULL.
+    Every row counts. Rows are summed to moments in bins of half a bandwidth, which are combined before their shuffle; a
+    bin's kernel sum at a grid point is the Taylor series of the kernel around its middle, whose rest is below 1e-11 of the
+    peak. A row costs as many products as the series has terms, whatever the grid. A class whose values are all the same has no
+    bandwidth: its density is NULL.
     """
     require_columns(df, col, by)
     rows = nan_to_null(df.select(by, F.col(col).cast("double").alias("v"))).where(
         F.col("v").isNotNull() & F.col(by).isNotNull()
     )
-    ends = rows.agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"),
-        F.approx_count_distinct("v").alias("values"),
-    ).first()
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     schema = f"{by} {df.schema[by].dataType.simpleString()}, x double, density double"
     if ends["lo"] is None or grid_points < 2:
         return df.sparkSession.createDataFrame([], schema)
@@ -291,17 +292,24 @@ def density(df: DataFrame, col: str, by: str, grid_points: int = 64, limit: int
     width = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
     h = F.lit(1.059) * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     bands = broadcast_if_small(spread.join(q, by).select(by, "n", F.when(h > 0, h).alias("h")))
-    z = lambda x: (F.lit(x) - F.col("v")) / F.col("h")
-    if ends["values"] * 10 < ends["n"]:
-        weighted = rows.groupBy(by, "v").agg(F.count("*").alias("w"))
-    else:
-        weighted = rows.withColumn("w", F.lit(1))
-    # One sum per grid point: the rows are not multiplied.
-    totals = weighted.join(bands, by).groupBy(by, "n", "h").agg(
-        *[F.sum(F.col("w") * F.exp(-0.5 * z(x) * z(x))).alias(f"t{i}") for i, x in enumerate(grid)]
-    )
-    points = F.array(*[F.struct(F.lit(x).alias("x"), F.col(f"t{i}").alias("total")) for i, x in enumerate(grid)])
-    return totals.select(by, "n", "h", F.inline(points)).select(
+    # Offsets within a bin are at most a quarter of a bandwidth.
+    bin_width = F.col("h") / 2
+    placed = rows.join(bands, by).withColumn("bin", F.floor(F.col("v") / bin_width))
+    placed = placed.withColumn("e", F.col("v") / F.col("h") - (F.col("bin") + 0.5) / 2)
+    power, powers = F.lit(1.0), []
+    for _ in range(SERIES):
+        powers.append(power)
+        power = power * F.col("e")
+    bins = placed.groupBy(by, "n", "h", "bin").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
+    u = F.col("x") / F.col("h") - (F.col("bin") + 0.5) / 2
+    here = bins.withColumn("x", F.explode(F.array(*[F.lit(x) for x in grid]))).withColumn("u", u)
+    # Hermite polynomials by their recurrence, each a column of its own.
+    for k in range(SERIES):
+        he = F.lit(1.0) if k == 0 else F.col("u") if k == 1 else F.col("u") * F.col(f"he{k - 1}") - (k - 1) * F.col(f"he{k - 2}")
+        here = here.withColumn(f"he{k}", he)
+    series = sum((F.col(f"he{k}") * F.col(f"m{k}") / math.factorial(k) for k in range(1, SERIES)), F.col("m0") * F.col("he0"))
+    total = F.sum(F.exp(-0.5 * F.col("u") * F.col("u")) * series)
+    return here.groupBy(by, "n", "h", "x").agg(total.alias("total")).select(
         by, "x", (F.col("total") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")
     )
 

@@ -13,14 +13,14 @@ from riskloom.functions.columns import nan_to_null
 from riskloom.operators import profile
 from riskloom.operators.clean import Cleaned, clean, validate_domain
 from riskloom.operators.codes import count_by, feature_dictionary, numeric_columns, rename_display
-from riskloom.operators.evaluate import best_model, leaderboard
+from riskloom.operators.evaluate import best_model, confusion_matrix, leaderboard, metrics_long
 from riskloom.operators.explain import explain
-from riskloom.operators.models import REGISTRY, Fitted, ModelSpec, Trained, train_all
+from riskloom.operators.models import REGISTRY, Fitted, ModelSpec, Trained, feature_importance, train_all
 from riskloom.operators.report import report_rows
 from riskloom.operators.scale import apply_scaler
 from riskloom.operators.score import score, with_defaults
 from riskloom.operators.split import split_frames
-from riskloom.sources.artifacts import load_fitted, load_results, save_fitted, save_results
+from riskloom.sources.artifacts import ModelStore, load_fitted, load_results, save_fitted, save_results
 
 ROW_ID = "row_id"
 
@@ -77,22 +77,43 @@ def train(
     label: str = config.LABEL,
     test_fraction: float = 0.2,
     seed: int = 42,
+    store: ModelStore | None = None,
 ) -> Training:
-    """Clean, split, scale, fit every model, and choose the best by AUC on the held-out rows."""
+    """Clean, split, scale, fit every model, and choose the best by AUC on the held-out rows.
+
+    With a store, a training that stopped goes on with the models that are not in it yet.
+    """
     cleaned = clean(
         with_row_id(df), label, config.CORE_FEATURES + config.SPARSE_CANDIDATES, config.CODE_COLUMNS,
         config.SPARSE_CANDIDATES, carry=[ROW_ID],
     )
     rows, held_out = split_frames(cleaned.df, label, [ROW_ID], test_fraction, seed)
-    done = train_all(rows, held_out, cleaned.features, label, ROW_ID, models, seed)
+    done = train_all(rows, held_out, cleaned.features, label, ROW_ID, models, seed, store)
     metrics = done.metrics(label)
     best = best_model(metrics, done.order).first()["model"]
     return Training(cleaned, done, leaderboard(metrics, done.order), done.fitted[best])
 
 
+def deep_dive(training: Training, label: str = config.LABEL) -> dict[str, DataFrame]:
+    """The tables behind the leaderboard, by name: one row set for all models."""
+    done = training.trained
+    metrics = done.metrics(label)
+    importances = None
+    for name, fitted in done.fitted.items():
+        rows = feature_importance(fitted).select(F.lit(name).alias("model"), "feature", "importance")
+        importances = rows if importances is None else importances.unionByName(rows)
+    return {
+        "confusion": confusion_matrix(done.predictions, label, "prediction", ["model"]),
+        "roc": done.roc(label),
+        "metrics": metrics_long(metrics, names=config.METRIC_NAMES),
+        "importances": importances,
+        "status": done.status,
+    }
+
+
 def save(training: Training, path: str, label: str = config.LABEL) -> None:
     save_fitted(training.best, f"{path}/best")
-    save_results(training.trained.metrics(label), training.trained.roc(label), f"{path}/results")
+    save_results(training.trained.metrics(label), training.trained.roc(label), f"{path}/results", training.trained.notes(label))
 
 
 @dataclass

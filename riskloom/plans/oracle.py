@@ -265,6 +265,14 @@ UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0
         "leaderboard": f"""WITH {METRICS_SQL}, {board}
 SELECT rank, {medals} AS medal, model, accuracy, "precision", recall, f1, roc_auc FROM board""",
         "best_model": f"WITH {METRICS_SQL}, {board} SELECT model, roc_auc FROM board WHERE rank = 1",
+        "results_round_trip": f"""WITH {METRICS_SQL}
+SELECT m.*, 'linear' AS explains, round(auc, 6) AS auc, CAST(1 AS DOUBLE) AS last_tpr, CAST(1 AS DOUBLE) AS last_fpr
+FROM metrics m JOIN areas USING (model)""",
+        "ragged_round_trip": """WITH c AS (SELECT *, c_custkey % 10 AS k FROM customer)
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN k <> 1 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey,
+       CASE WHEN k > 2 THEN round(CAST(c_acctbal AS DOUBLE), 2) END AS c_acctbal,
+       CASE WHEN k = 1 THEN 'surplus' ELSE 'row' END AS outcome, CASE WHEN k = 1 THEN CAST(5 AS BIGINT) END AS fields
+FROM c""",
         "nearest_scores": NEAREST_SQL,
         "score_stream_neighbours": NEAREST_SQL,
     }

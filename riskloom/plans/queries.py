@@ -42,6 +42,8 @@ from riskloom.plans.cohort import (
     raw_cohort,
     table,
 )
+from riskloom.sources.artifacts import load_notes, load_results, save_results
+from riskloom.sources.tables import as_numbers, read_checked_table
 from riskloom.streaming.score import score_stream as stream_of
 from riskloom.streaming.score import write_batches, write_scores
 
@@ -383,6 +385,45 @@ def best_model(spark, sf_dir):
     return evaluate.best_model(score_metrics(spark, sf_dir), MODEL_ORDER)
 
 
+@query
+def results_round_trip(spark, sf_dir):
+    """Metrics, unrounded AUC and number of curve points per model, as saved and loaded again."""
+    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    scored = model_scores(spark, sf_dir)
+    area = evaluate.roc_auc(scored, "label", "score", ["model"]).withColumnRenamed("roc_auc", "auc")
+    notes = area.select("model", F.lit("linear").alias("explains"), "auc")
+    save_results(score_metrics(spark, sf_dir), evaluate.roc_curve(scored, "label", "score", ["model"]), path, notes)
+    metrics, curve = load_results(spark, path)
+    ends = curve.groupBy("model").agg(F.max("tpr").alias("last_tpr"), F.max("fpr").alias("last_fpr"))
+    return rounded(evaluate.with_curve(metrics, curve).join(load_notes(spark, path), "model").join(ends, "model"))
+
+
+# Tables
+
+
+@query
+def ragged_round_trip(spark, sf_dir):
+    """Customers written as text lines, some short, some with surplus fields, some with a missing token, and read back."""
+    path = f"{checkpoint_dir(spark)}/ragged-{uuid.uuid4().hex}"
+    key = F.col("c_custkey") % 10
+    balance = F.when(key == 2, F.lit("?")).otherwise(F.col("c_acctbal").cast("string"))
+    line = F.when(key == 0, F.concat_ws(",", "c_custkey", "c_nationkey")).when(
+        key == 1, F.concat_ws(",", "c_custkey", "c_nationkey", balance, F.lit('"a, b"'), F.lit("c"))
+    ).otherwise(F.concat_ws(",", "c_custkey", "c_nationkey", balance))
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
+    read = read_checked_table(spark, path, ["c_custkey", "c_nationkey", "c_acctbal"])
+    kept = as_numbers(read.rows).select(
+        F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long"), F.round("c_acctbal", 2).alias("c_acctbal"),
+        F.lit("row").alias("outcome"), F.lit(None).cast("long").alias("fields"),
+    )
+    none = F.lit(None)
+    lost = read.rejected.select(
+        F.split("line", ",")[0].cast("long").alias("c_custkey"), none.cast("long").alias("c_nationkey"), none.cast("double").alias("c_acctbal"),
+        F.col("reason").alias("outcome"), F.col("fields").cast("long").alias("fields"),
+    )
+    return kept.unionByName(lost)
+
+
 # Models
 
 

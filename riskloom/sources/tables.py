@@ -53,6 +53,62 @@ def read_text_table(
     return df.select(*[text_or_null(F.col(c), na_tokens).alias(c) for c in df.columns])
 
 
+@dataclass
+class CheckedTable:
+    """Rows of a text table, and the lines that are none: (line, fields, reason), reason 'surplus' or 'short'."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(reason, lines) of what was rejected."""
+        return self.rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def read_checked_table(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] = (),
+    header: bool = False,
+    renames: Mapping[str, str] | None = None,
+    na_tokens: Sequence[str] = NA_TOKENS,
+    reject_short: bool = False,
+) -> CheckedTable:
+    """A text table whose ragged lines are told apart, none lost unseen.
+
+    A line with more fields than columns is rejected as a whole. One with fewer has NULL in the columns that it lacks, or is
+    rejected with `reject_short`. The parser must see every field to tell, so that pruning is off: keep `rows` if read often.
+    """
+    raw = spark.read.option("header", header)
+    if header:
+        names = list(raw.csv(path).columns)
+    elif columns:
+        names = list(columns)
+    else:
+        raise ValueError("name the columns of a table without a header")
+    line = "_line"
+    while line in names:
+        line += "_"
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(line, T.StringType())])
+    got = raw.schema(schema).option("columnNameOfCorruptRecord", line).option("columnPruning", False).option("enforceSchema", True).csv(path)
+    # Commas between quotes separate nothing.
+    fields = F.regexp_count(F.regexp_replace(line, '"[^"]*"', ""), F.lit(",")) + 1
+    # Spark reads a bad line only beside another column; the lesser of the two is always the first.
+    fields = F.least(fields, fields + F.length(F.coalesce("c0", F.lit(""))))
+    told = got.withColumn("_fields", F.when(F.col(line).isNotNull(), fields))
+    surplus, short = F.col("_fields") > len(names), F.col("_fields") < len(names)
+    bad = F.coalesce(surplus | short if reject_short else surplus, F.lit(False))
+    shown = [c.strip().lower() for c in names] if header else names
+    for old, new in (renames or {}).items():
+        if old in shown and new in shown:
+            raise ValueError(f"{path} has both {old} and {new}")
+        shown = [new if n == old else n for n in shown]
+    return CheckedTable(
+        told.where(~bad).select(*[text_or_null(F.col(f"c{i}"), na_tokens).alias(c) for i, c in enumerate(shown)]),
+        told.where(bad).select(F.col(line).alias("line"), F.col("_fields").alias("fields"), F.when(surplus, "surplus").otherwise("short").alias("reason")),
+    )
+
+
 def as_numbers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Text columns as double; malformed text becomes NULL."""
     cols = cols or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
