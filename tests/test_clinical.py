@@ -48,6 +48,10 @@ def test_train_save_assess(spark, table, tmp_path):
     assert done.trained.predictions.count() == 2 * 52
     board = done.leaderboard.collect()
     assert board[0].model == done.best.spec.name and board[0].roc_auc > 0.75
+    tables = clinical.deep_dive(done)
+    assert {m: n for m, n in tables["confusion"].groupBy("model").sum("count").collect()} == {m: 52 for m in done.trained.fitted}
+    assert tables["roc"].select("model").distinct().count() == tables["importances"].select("model").distinct().count() == 2
+    assert tables["metrics"].count() == 10 and tables["status"].where("status = 'ok'").count() == 2
     path = str(tmp_path / "saved")
     with pytest.raises(ValueError, match="train and save"):
         clinical.assess(spark, table, path, "id")
