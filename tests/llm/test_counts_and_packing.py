@@ -147,3 +147,18 @@ def test_parts_without_an_end_are_encoded_one_by_one():
     model = subwords.WordIds(subwords.WORD_MODEL)
     model.ends[:] = False
     assert np.frombuffer(model.ids([b"several words, here"])[0], "<u4").tolist() == model.tokenizer.encode("several words, here", add_special_tokens=False).ids
+
+
+def test_memory_never_walks_its_values():
+    from riskloom.llm.common import Memory
+
+    class Values(dict):
+        def keys(self):
+            raise AssertionError("walks every key")
+
+        __iter__ = items = keys
+
+    memory = Memory(10)
+    memory.young, memory.old = Values(a=1), Values(b=2)
+    assert memory.missing({"a", "b", "c"}) == ["c"]
+    assert memory.young["a"] == 1 and memory.young["b"] == 2
