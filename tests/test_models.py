@@ -222,3 +222,15 @@ def test_save_and_load_results(spark, trained, tmp_path):
     save_results(metrics, trained.roc("y"), path)
     got, roc = load_results(spark, path)
     assert got.count() == 6 and ev.with_curve(got, roc).count() == 6
+
+
+def test_bounded_rows_keep_the_tables_order_and_are_read_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.models import bounded_rows
+    from riskloom.operators.split import first_rows
+
+    rows = spark.range(4_000, numPartitions=8).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    few = bounded_rows(rows, "y", "k", 200, 42)
+    assert few.rdd.getNumPartitions() == 1 and "Coalesce" not in few._jdf.queryExecution().executedPlan().toString()
+    assert [r["k"] for r in few.collect()] == [r["k"] for r in first_rows(rows, "y", ["k"], 200, 42).coalesce(1).collect()]
