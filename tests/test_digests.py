@@ -46,3 +46,17 @@ def test_first_rows_are_exact_and_stratified(spark):
     assert sp.first_rows(df, "y", ["id"], 5000).count() == 5000
     assert sp.class_quotas({0: 10**10, 1: 3}, 2000) == {0: 2000, 1: 1}
     assert sp.class_quotas({0: 60, 1: 40}, 10) == {0: 6, 1: 4}
+
+
+def test_rows_are_dealt_before_they_are_compared(spark, monkeypatch):
+    df = _frame(spark)
+    want = {tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in df.collect()}
+    plan = cl.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_d1" in plan and "Aggregate" not in plan[plan.index("Exchange hashpartitioning(_d1"):]
+    # Tasks follow the rows, and the row with 900 copies is merged before its shuffle.
+    monkeypatch.setattr(cl, "ROWS_PER_TASK", 500)
+    done = cl.deduplicate(df)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-df.count() // 500)})" in plan.replace(", REPARTITION_BY_NUM", ")") and "Union" in plan
+    got = [tuple(r) for r in done.collect()]
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
