@@ -138,7 +138,9 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 found += _forest(a, b, radius, same)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    found = cut_lineage(pairs.mapInArrow(compare, "a long, b long"))
+    blocks.unpersist()
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -178,7 +178,10 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         .select("id", "sign", F.explode("lows").alias("w"), "first")
         .select("id", "sign", (F.col("first") + F.col("w.at")).alias("begin"), (F.col("first") + F.col("w.at") + window).alias("end"))
     )
-    return straight.union(bent).groupBy(F.col("id").alias("__i"), F.col("sign").alias("__s")).agg(F.collect_set(F.struct("begin", "end")).alias("__spans"))
+    spans = cut_lineage(straight.union(bent).groupBy(F.col("id").alias("__i"), F.col("sign").alias("__s")).agg(F.collect_set(F.struct("begin", "end")).alias("__spans")))
+    hits.unpersist()
+    every.unpersist()
+    return spans
 
 
 def _with_spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:

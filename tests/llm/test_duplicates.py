@@ -193,3 +193,13 @@ def test_decontamination_of_rows(spark):
     spans = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontaminate.find(docs, bench).collect()}
     assert spans[(1, 2)] == 0 and spans[(4, 1)] == 0
     assert decontaminate.mark(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_no_table_stays_in_memory_behind_the_duplicate_stages(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    cached = spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert substring_dedup.without_repeats(docs).count() == 3 and simhash.one_of_each(docs).count() >= 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty() == cached
