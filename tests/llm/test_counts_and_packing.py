@@ -162,3 +162,46 @@ def test_memory_never_walks_its_values():
     memory.young, memory.old = Values(a=1), Values(b=2)
     assert memory.missing({"a", "b", "c"}) == ["c"]
     assert memory.young["a"] == 1 and memory.young["b"] == 2
+
+
+def test_known_words_are_asked_once_and_new_ones_learnt_together():
+    from riskloom.llm.common import Memory
+
+    asked, memory = [], Memory(5)
+
+    def learn(new):
+        asked.append(sorted(new))
+        return {k: k.encode() if k else b"" for k in new}
+
+    assert memory.values([["a", "b", "a"], [], ["", "c", "b"]], learn) == [[b"a", b"b", b"a"], [], [b"", b"c", b"b"]]
+    assert memory.values([["a", "", "d"]], learn) == [[b"a", b"", b"d"]]
+    # The young generation is full with the next key; values found before it turned old stay.
+    assert memory.values([["a", "e"], ["b", "f"]], learn) == [[b"a", b"e"], [b"b", b"f"]]
+    assert memory.values([["a", "e"]], learn) == [[b"a", b"e"]]
+    assert asked == [["", "a", "b", "c"], ["d"], ["e", "f"]]
+
+
+def test_a_worker_forgets_what_its_last_task_did_not_use():
+    from riskloom.llm import common
+
+    made = []
+    ask = lambda key: common.worker_cache(key, lambda: made.append(key) or key)
+    common._worker_store().clear()
+    ask("tables")
+    common.forget_unused()
+    ask("tables")
+    common.forget_unused()
+    assert made == ["tables"]
+    common.forget_unused()
+    ask("tables")
+    assert made == ["tables", "tables"]
+    common._worker_store().clear()
+
+
+def test_ids_of_texts_are_the_ids_of_their_words():
+    model = subwords.WordIds(subwords.WORD_MODEL)
+    texts = [b"", b" ", b"one two\tone", b"\x0bin\x0c\x0c out \n", "naïve café x\x1cy".encode(), b"z" * 200 + b" one", b"two"] * 2
+    for some in ([], texts, [b""], texts[::-1]):
+        want = [model.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in model.ids(some)] == want
+        assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in model.by_word(some)] == want
