@@ -51,6 +51,7 @@ def test_first_rows_are_exact_and_stratified(spark):
 def test_rows_are_dealt_before_they_are_compared(spark, monkeypatch):
     df = _frame(spark)
     want = {tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in df.collect()}
+    monkeypatch.setattr(cl, "ROWS_PER_TASK", 1_500)
     plan = cl.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
     assert "_d1" in plan and "Aggregate" not in plan[plan.index("Exchange hashpartitioning(_d1"):]
     # Tasks follow the rows, and the row with 900 copies is merged before its shuffle.
