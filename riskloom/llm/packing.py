@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.session import cut_lineage
-from riskloom.llm.common import map_chunks, number_rows, texts_of
-from riskloom.llm.subwords import WORD_MODEL, word_ids
+from riskloom.llm.common import map_chunks, number_rows
+from riskloom.llm.subwords import TOGETHER, WORD_MODEL, word_ids
 
 CAPACITY = 4096
 END_ID = 2
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = WORD_MODEL, e
 
         def work(chunk):
             rows, ids = [], []
-            for doc, raw in zip(chunk.column("doc_id").to_pylist(), encoder.ids(texts_of(chunk.column("text")))):
+            for doc, raw in zip(chunk.column("doc_id").to_pylist(), encoder.ids(chunk.column("text"))):
                 raw += end
                 total, start = len(raw) // 4, 0
                 for n in [capacity] * (total // capacity) + rests[total % capacity]:
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = WORD_MODEL, e
 
         return work
 
-    return map_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", schema, make)
+    return map_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", schema, make, TOGETHER)
 
 
 def plan_rest(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:

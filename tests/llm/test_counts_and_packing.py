@@ -205,3 +205,22 @@ def test_ids_of_texts_are_the_ids_of_their_words():
         want = [model.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in some]
         assert [np.frombuffer(x, "<u4").tolist() for x in model.ids(some)] == want
         assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in model.by_word(some)] == want
+
+
+def test_parts_need_no_pattern_and_words_without_ids_keep_their_place():
+    import pyarrow as pa
+
+    from riskloom.llm import common
+
+    model = subwords.WordIds(subwords.WORD_MODEL)
+    assert model.bare is not model.tokenizer
+    parts = ["don", "'t", "straße", "7", "½", "***", "ŉ"]
+    assert model._encode_parts(parts) == model._encode(parts)
+    texts = [" x\x85 \x85 y", None, "", "\x85", "z " * 3]
+    ids, ends, begins = model.placed(pa.array(texts))
+    assert begins.tolist() == [0, 3, 3, 3, 4, 7] and np.diff(ends).tolist() == [len(w) for w in ids.to_pylist()]
+    assert [[len(w) // 4 for w in ws] for ws in model.by_word([(t or "").encode() for t in texts])] == [[1, 0, 1], [], [], [0], [1, 1, 1]]
+    # Slices begin where their batch does not.
+    assert model.ids(pa.array(texts)[2:]) == model.ids([(t or "").encode() for t in texts[2:]])
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10] * 9})
+    assert [c.num_rows for c in common.chunks(batch, "text", 30)] == [2, 3, 3, 1]
