@@ -1,0 +1,39 @@
+"""The registered queries fit their models on all labelled rows."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from riskloom.operators import models as md
+from riskloom.plans import queries as q
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    r, n = np.random.default_rng(3), 5_000
+    rows = pd.DataFrame({
+        "l_orderkey": np.arange(n), "l_partkey": r.integers(1, 50, n), "l_suppkey": r.integers(1, 9, n),
+        "l_linenumber": r.integers(1, 8, n).astype(np.int32), "l_quantity": r.integers(2, 51, n).astype(float),
+        "l_extendedprice": r.uniform(900, 100_000, n).round(2), "l_discount": r.integers(0, 11, n) / 100, "l_tax": r.integers(0, 9, n) / 100,
+        "l_returnflag": r.choice(["A", "N", "R"], n), "l_linestatus": r.choice(["F", "O"], n),
+        "l_shipdate": pd.Timestamp("1995-01-01") + pd.to_timedelta(r.integers(0, 2_000, n), "D"),
+    })
+    path = str(tmp_path_factory.mktemp("lines"))
+    spark.createDataFrame(rows).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name,fits", [("train_forest", 1), ("train_gbt", 1), ("explain_forest", 1), ("explain_boosted", 1), ("train_compare", 2)])
+def test_ensembles_are_fitted_on_all_training_rows(spark, lines, monkeypatch, name, fits):
+    seen = []
+
+    class Counting:
+        def fit(self, rows):
+            seen.append(rows.count())
+            raise ValueError("counted")
+
+    monkeypatch.setattr(md, "make_classifier", lambda *a: Counting())
+    monkeypatch.setattr(q, "REGISTRY", [m for m in md.REGISTRY if m.kind in ("forest", "gbt")])
+    with pytest.raises(RuntimeError, match="counted"):
+        q.all_queries()[name](spark, lines)
+    assert seen == [4_000] * fits
